@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES: list[str] = []
+_NAMES = ["lookalikes"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
