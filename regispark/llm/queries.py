@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["lookalikes"]
+_NAMES = ["lookalikes", "canonical"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
