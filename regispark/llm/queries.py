@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["lookalikes", "canonical"]
+_NAMES = ["lookalikes", "canonical", "mailtext"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
