@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["lookalikes", "canonical", "mailtext", "names", "pii", "revisions"]
+_NAMES = ["lookalikes", "canonical", "mailtext", "names", "pii", "revisions", "scans"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
