@@ -142,8 +142,8 @@ def accepted_repairs(df: DataFrame, text_col: str) -> DataFrame:
     return known.groupBy(F.col("f.token").alias("token")).agg(F.min_by("word", F.col("f.place")).alias("repair"))
 
 
-def unify(df: DataFrame, text_col: str, out_col: str = "text_norm", key_col: str = "look_key") -> DataFrame:
-    """`df` with the text's consistent form and its key.
+def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_col: str = "look_key") -> DataFrame:
+    """`df` with the text's consistent form and its key; with out_col None the key alone, so that no text returns from Python.
 
     Only rows with letters of two scripts side by side are joined with the accepted repairs; the others are
     one narrow pass. The join is on a hash of the text, so exact copies are repaired once and no text travels
@@ -151,13 +151,13 @@ def unify(df: DataFrame, text_col: str, out_col: str = "text_norm", key_col: str
     """
     text = F.col(f"`{text_col}`").cast("string")
     mixed = F.coalesce(text.rlike(MIXED_JVM), F.lit(False))
-    fixes = cut_lineage(accepted_repairs(df.where(mixed | text.isNotNull()), text_col))
+    fixes = cut_lineage(accepted_repairs(df, text_col))
     schema = T.StructType([T.StructField("n", T.StringType()), T.StructField("k", T.StringType())])
 
     @F.pandas_udf(schema)
     def form(texts: pd.Series) -> pd.DataFrame:
         norm = [None if t is None else plain(t) for t in texts]
-        return pd.DataFrame({"n": norm, "k": [look_key(t) for t in norm]})
+        return pd.DataFrame({"n": norm if out_col else None, "k": [look_key(t) for t in norm]})
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def mixed_tokens(texts: pd.Series) -> pd.Series:
@@ -170,7 +170,7 @@ def unify(df: DataFrame, text_col: str, out_col: str = "text_norm", key_col: str
             by = {} if a is None else dict(zip(a, b))
             t = plain(t)
             norm.append(_TOKEN.sub(lambda m, by=by: by.get(m[0], m[0]), t) if by else t)
-        return pd.DataFrame({"n": norm, "k": [look_key(t) for t in norm]})
+        return pd.DataFrame({"n": norm if out_col else None, "k": [look_key(t) for t in norm]})
 
     h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
     plain_rows = df.where(~mixed).withColumn("__f", form(text))
@@ -183,7 +183,7 @@ def unify(df: DataFrame, text_col: str, out_col: str = "text_norm", key_col: str
     )
     mixed_rows = df.where(mixed).withColumn("__h", h).join(by_text, "__h", "left").withColumn("__f", fixed(text, F.col("__a"), F.col("__b")))
     both = plain_rows.select(*[F.col(f"`{c}`") for c in df.columns], "__f").unionByName(mixed_rows.select(*[F.col(f"`{c}`") for c in df.columns], "__f"))
-    return both.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__f.n").alias(out_col), F.col("__f.k").alias(key_col))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *([F.col("__f.n").alias(out_col)] if out_col else []), F.col("__f.k").alias(key_col))
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,10 +191,10 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Exact copies share a class, so keys with one class (copies only) end before any pair is made.
     """
-    rows = (
-        unify(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''"), "text")
+    rows = cut_lineage(
+        unify(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).where("id is not null and text <> ''"), "text", out_col=None)
         .where("look_key is not null")
-        .select("id", "look_key", F.xxhash64("text").alias("raw"))
+        .select("id", "look_key", "raw")
     )
     keys = rows.groupBy("look_key").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("look_key")
     rows = cut_lineage(rows.join(keys, "look_key"))
