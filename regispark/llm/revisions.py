@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits (problem 6): BagMinHash, banding, exact overlap.
 
-A text is the set of its different words, weighted by the square of their inverse document frequency and
+A text is the set of its different words, weighted by the third power of their inverse document frequency and
 discretised to powers of two. BagMinHash (Ertl, KDD 2018) sees a weighted element as a Poisson process over
 (0, weight] x time; a register holds the earliest point of all elements, and two signatures agree in a register
 with probability equal to the weighted Jaccard similarity. The process is hierarchical: the earliest point of
@@ -9,9 +9,11 @@ follows after one more exponential wait. So a word costs one draw a register at
 for each halving. Bands of registers propose pairs, the exact overlap of the word sets decides.
 
 Why weights: unweighted, two texts from one template agree in a third of their words, and signatures that still
-catch a similarity of 0.6 would propose a good part of all pairs. Weighted, such pairs fall to a few percent.
+catch a similarity of 0.6 would propose a good part of all pairs. Weighted, such pairs fall far below one percent,
+so that the pairs proposed by chance stay few when the collection grows.
 
-Copies (equal word sets) are one class from the start, and only class representatives are compared.
+Copies (equal word sets) are one class from the start, and only class representatives are compared: the rows of
+their bands are equal and end in the first aggregation.
 
 Bounds: words rarer than one in `RARE` documents all have the greatest weight, so that the table of weights, the
 only data broadcast, has at most RARE times the mean number of words a text entries, whatever the corpus.
@@ -31,14 +33,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regispark.operators.components import connected_components
 from regispark.session import cut_lineage, read_table
 
 RARE = 2048
-LEVELS = 6  #: weights 2**0 .. 2**LEVELS; (ln 2048)**2 is about 2**6
+LEVELS = 9  #: weights 2**0 .. 2**LEVELS; (ln 2048)**3 is about 2**9
 BANDS, ROWS = 40, 3
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -52,7 +54,7 @@ def words_of(text: str) -> list[int]:
 def level_of(df: int, n: int) -> int:
     """Discretised weight of a word that is in df of n documents, as a power of two."""
     idf = math.log(max(n, 1) / max(df, 1))
-    return max(0, min(LEVELS, round(math.log2(max(idf * idf, 1.0)))))
+    return max(0, min(LEVELS, round(3 * math.log2(max(idf, 1.0)))))
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -117,10 +119,10 @@ def word_sets(df: DataFrame, min_words: int = 1) -> DataFrame:
     return source.mapInPandas(sets, f"field string, id {kind}, k1 bigint, k2 bigint, words array<bigint>")
 
 
-def word_levels(sets: DataFrame) -> dict[str, dict[int, int]]:
+def word_levels(rows: DataFrame) -> dict[str, dict[int, int]]:
     """Weights of the words found in at least one of RARE documents; counted over all of them."""
-    n = {r["field"]: r["n"] for r in sets.groupBy("field").agg(F.count("*").alias("n")).collect()}
-    counts = sets.select("field", F.explode("words").alias("w")).groupBy("field", "w").agg(F.count("*").alias("df"))
+    n = {r["field"]: r["n"] for r in rows.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    counts = rows.select("field", F.explode("words").alias("w")).groupBy("field", "w").agg(F.count("*").alias("df"))
     frequent = F.lit(False)
     for f, k in n.items():
         frequent = frequent | ((F.col("field") == f) & (F.col("df") * RARE >= k))
@@ -130,12 +132,12 @@ def word_levels(sets: DataFrame) -> dict[str, dict[int, int]]:
     return out
 
 
-def similar_sets(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
+def similar_sets(rows: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
     """(field, a1, a2, b1, b2): pairs of different word sets with num/den or more of their words in common.
 
-    sets: one row for each (field, k1, k2) with its words.
+    rows: field, k1, k2, words; copies may be among them.
     """
-    levels = sets.sparkSession.sparkContext.broadcast(word_levels(sets))
+    levels = rows.sparkSession.sparkContext.broadcast(word_levels(rows))
 
     def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,44 +149,39 @@ def similar_sets(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
                         held += len(words[end])
                         end += 1
                     k = band_keys([np.asarray(w) for w in words[at:end]], levels.value.get(f, {}))
-                    part = group.iloc[at:end]
                     # The field is part of the key, so that fields share no bucket.
                     salt = np.int64(xxhash.xxh64_intdigest(f) >> 1)
-                    yield pd.DataFrame({"band": (k ^ salt).ravel(), "field": f, "k1": np.repeat(part["k1"].to_numpy(), BANDS), "k2": np.repeat(part["k2"].to_numpy(), BANDS)})
+                    yield pd.DataFrame({"band": (k ^ salt).ravel(), "k": np.repeat(group["k1"].iloc[at:end].to_numpy(), BANDS)})
                     at = end
 
-    bands = sets.select("field", "k1", "k2", "words").mapInPandas(keys, "band bigint, field string, k1 bigint, k2 bigint")
-    # Buckets of one set propose nothing; they end here, after the only shuffle of all keys.
-    alone = bands.withColumn("lo", F.min(F.struct("k1", "k2")).over(_by_band())).withColumn("hi", F.max(F.struct("k1", "k2")).over(_by_band()))
-    shared = cut_lineage(alone.where("lo <> hi").select("band", "field", "k1", "k2"))
-    a = shared.select("band", "field", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
-    b = shared.select("band", "field", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
-    pairs = cut_lineage(a.join(b, ["band", "field"]).where(F.struct("a1", "a2") < F.struct("b1", "b2")).select("field", "a1", "a2", "b1", "b2").distinct())
-    ends = pairs.select("field", F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("field", "b1", "b2")).distinct()
-    held = cut_lineage(sets.join(ends, ["field", "k1", "k2"], "left_semi").select("field", "k1", "k2", "words"))
+    bands = rows.select("field", "k1", "words").mapInPandas(keys, "band bigint, k bigint")
+    # One shuffle of all keys. Rows of copies are equal and end in the window; buckets of one set propose nothing.
+    # Both sides of the join below are this same shuffle, and need no other.
+    by_band = Window.partitionBy("band")
+    bucket = (
+        bands.repartition("band").withColumn("n", F.row_number().over(Window.partitionBy("band", "k").orderBy("k"))).where("n = 1")
+        .withColumn("lo", F.min("k").over(by_band)).withColumn("hi", F.max("k").over(by_band)).where("lo <> hi").select("band", "k")
+    )
+    met = bucket.withColumnRenamed("k", "a").join(bucket.withColumnRenamed("k", "b"), "band").where("a < b").select("a", "b").distinct()
+    met = cut_lineage(met)
+    ends = met.select(F.col("a").alias("k1")).union(met.select("b")).distinct()
+    held = cut_lineage(rows.join(ends, "k1", "left_semi").select("field", "k1", "k2", "words").dropDuplicates(["field", "k1", "k2"]))
     left = held.select("field", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("words").alias("wa"))
     right = held.select("field", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    checked = pairs.join(left, ["field", "a1", "a2"]).join(right, ["field", "b1", "b2"]).withColumn("c", common)
+    checked = met.select(F.col("a").alias("a1"), F.col("b").alias("b1")).join(left, "a1").join(right, ["b1", "field"]).withColumn("c", F.size(F.array_intersect("wa", "wb")))
     return checked.where(F.col("c") * den >= (F.size("wa") + F.size("wb") - F.col("c")) * num).select("field", "a1", "a2", "b1", "b2")
 
 
-def _by_band():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("band")
-
-
-def _classes(df: DataFrame, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members: field, id, k1, k2), (sets: field, k1, k2, words), each word set once."""
+def _sets(df: DataFrame, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(members: field, id, k1, k2), (rows: field, k1, k2, words)."""
     rows = cut_lineage(word_sets(df, min_words))
-    return rows.select("field", "id", "k1", "k2").distinct(), cut_lineage(rows.select("field", "k1", "k2", "words").dropDuplicates(["field", "k1", "k2"]))
+    return rows.select("field", "id", "k1", "k2").distinct(), rows.select("field", "k1", "k2", "words")
 
 
 def revision_pairs(df: DataFrame, min_words: int = 1) -> DataFrame:
     """(field, id_a, id_b): all pairs of rows with 0.6 or more of their different words in common."""
-    members, sets = _classes(df, min_words)
-    pairs = similar_sets(sets)
+    members, rows = _sets(df, min_words)
+    pairs = cut_lineage(similar_sets(rows))
     a = members.select("field", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("id").alias("x"))
     b = members.select("field", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("id").alias("y"))
     across = pairs.join(a, ["field", "a1", "a2"]).join(b, ["field", "b1", "b2"]).select("field", "x", "y")
@@ -199,9 +196,9 @@ def revision_groups(df: DataFrame, min_words: int = 1) -> DataFrame:
 
     class_id is the smallest id of the class; n_links counts the other word sets that a record's own is similar to.
     """
-    members, sets = _classes(df, min_words)
+    members, rows = _sets(df, min_words)
     first = members.groupBy("field", "k1", "k2").agg(F.min("id").alias("head"))
-    pairs = similar_sets(sets).join(first.select("field", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("head").alias("src")), ["field", "a1", "a2"])
+    pairs = similar_sets(rows).join(first.select("field", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("head").alias("src")), ["field", "a1", "a2"])
     pairs = cut_lineage(pairs.join(first.select("field", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("head").alias("dst")), ["field", "b1", "b2"]).select("field", "src", "dst"))
     links = pairs.union(pairs.select("field", "dst", "src")).groupBy("field", F.col("src").alias("head")).agg(F.count("*").alias("n_links"))
     named = pairs.select(F.concat_ws(":", "field", F.lpad(F.col("src").cast("string"), 20, "0")).alias("src"), F.concat_ws(":", "field", F.lpad(F.col("dst").cast("string"), 20, "0")).alias("dst"))
