@@ -150,7 +150,8 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
     with more than its own tokens.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    mixed = F.coalesce(text.rlike(MIXED_JVM), F.lit(False))
+    # Most texts hold no letter of a second script, which one character class tells; only the rest are searched for pairs.
+    mixed = F.coalesce(text.rlike(rf"[{_FOREIGN_RANGE}]") & text.rlike(MIXED_JVM), F.lit(False))
     fixes = cut_lineage(accepted_repairs(df, text_col))
     schema = T.StructType([T.StructField("n", T.StringType()), T.StructField("k", T.StringType())])
 
