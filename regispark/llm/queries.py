@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["lookalikes", "canonical", "mailtext", "names", "pii", "revisions", "scans"]
+_NAMES = ["lookalikes", "canonical", "mailtext", "names", "pii", "revisions", "scans", "packing", "mixing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
