@@ -72,13 +72,13 @@ def strict_date(text: Column) -> Column:
 
 def lenient_date(text: Column) -> Column:
     """The date in any of the notations registries use, time of day dropped, months in words read; else null."""
-    words = F.lower(F.trim(text))
-    for i, name in enumerate(MONTHS, 1):
-        words = F.regexp_replace(words, rf"^(\d{{1,2}})\.?\s+{name}\s+(\d{{4}})", f"$1.{i}.$2")
-    words = F.regexp_replace(words, r"[ t]\d{1,2}:\d{2}(:\d{2})?.*$", "")
-    return F.coalesce(
-        F.when(words.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(words, "d.M.yyyy")), F.when(words.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(words, "yyyy-MM-dd")),
-        F.when(words.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(words, "d/M/yyyy")),
+    words = F.regexp_replace(F.lower(F.trim(text)), r"[ t]\d{1,2}:\d{2}(:\d{2})?.*$", "")
+    named = r"^(\d{1,2})\.?\s+(\p{L}+)\s+(\d{4})$"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(words, named, 2))
+    spelt = F.concat_ws(".", F.regexp_extract(words, named, 1), month.cast("string"), F.regexp_extract(words, named, 3))
+    return (
+        F.when(words.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(words, "d.M.yyyy")).when(words.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(words, "yyyy-MM-dd"))
+        .when(words.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(words, "d/M/yyyy")).when(words.rlike(named), F.try_to_date(spelt, "d.M.yyyy"))
     )
 
 
@@ -89,7 +89,7 @@ def site(url: Column) -> Column:
 
 def absolute(url: Column, base: Column) -> Column:
     """A link as it stands if it is absolute, else below the site of `base`."""
-    return F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.concat(site(base), F.lit("/"), F.ltrim(F.lit("/"), url)))
+    return F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.concat(site(base), F.lit("/"), F.ltrim(url, F.lit("/"))))
 
 
 def encoded_path(path: Column) -> Column:
@@ -98,7 +98,7 @@ def encoded_path(path: Column) -> Column:
 
 
 def last_segment(url: Column) -> Column:
-    return F.element_at(F.split(F.rtrim(F.lit("/"), F.regexp_replace(url, r"[?#].*$", "")), "/"), -1)
+    return F.element_at(F.split(F.rtrim(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/")), "/"), -1)
 
 
 def trailing_id(url: Column) -> Column:

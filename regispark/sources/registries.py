@@ -191,7 +191,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for kind, body, site in zip(b["fetcher_type"], b["body"], b["site"]):
                 parser = PARSERS.get(kind)
                 valid, data, urls, names, relations, bases = parser(body, site or "") if parser and body else NOTHING
-                out.append((valid, list(data.items()), urls, names, relations, bases))
+                out.append((valid, data, urls, names, relations, bases))
             yield pd.concat([b.drop(columns=["body"]).reset_index(drop=True), pd.DataFrame(out, columns=["valid", "data", "file_urls", "file_names", "relations", "bases"])], axis=1)
 
     keys = ["organisation_id", "fetcher_type", "site", "source_id"]
@@ -220,15 +220,16 @@ def documents(bags: DataFrame, list_types: DataFrame | None = None) -> DataFrame
         listed = F.coalesce("__listed", F.lit(""))
     note_type = F.trim(F.coalesce(d("doctype"), d("acttype"), F.lit("")))
     note_ref = F.trim(F.coalesce(d("docid"), F.lit("")))
-    base = F.rtrim(F.lit("/"), F.col("site"))
+    base = F.rtrim(F.col("site"), F.lit("/"))
     slash = F.concat(base, F.lit("/dokument/"), sid)
+    day = by(form=d("Registreerimise kpv"), json=d("doc_trans_date"), label=d("Reg kpv"), note=d("date"), table=F.coalesce(d("Dokumendi loomise kuupäev"), d("Kuupäev")))
     return rows.select(
         "organisation_id",
         by(form=slash, json=slash, table=F.concat(slash, F.lit("/")), label=slash, note=F.concat(base, F.lit("/documents/NT"), F.lpad(F.hex(sid.cast("bigint")), 8, "0"), F.lit("?open"))).alias("url"),
         sid.alias("original_id"),
         by(form=d("Pealkiri"), json=d("doc_headline"), label=F.coalesce(d("Pealkiri"), d("Lepingu objekt"), d("Objekt")), note=F.coalesce(filled(d("subject")), filled(note_type), note_ref), table=F.coalesce(d("Pealkiri"), F.lit(""))).alias("title"),
         by(form=d("Viit"), json=F.concat(F.coalesce(d("doc_proc_marker"), F.lit("")), F.lit("/"), F.coalesce(d("doc_number"), F.lit(""))), label=d("Reg nr"), note=note_ref, table=F.coalesce(d("Dokumendi viit"), F.lit(""))).alias("reference"),
-        by(form=lenient_date(d("Registreerimise kpv")), json=lenient_date(d("doc_trans_date")), label=lenient_date(d("Reg kpv")), note=strict_date(d("date")), table=strict_date(F.coalesce(d("Dokumendi loomise kuupäev"), d("Kuupäev")))).cast("date").alias("registration_date"),
+        F.when(kind.isin("riigikantselei-dhs", "riigikogu"), strict_date(day)).otherwise(lenient_date(day)).cast("date").alias("registration_date"),
         by(form=d("Dokumendi liik"), json=d("doc_type_friendly"), label=d("Liik"), note=note_type, table=listed).alias("doc_type"),
         by(form=d("Funktsioon"), json=d("ds_code")).alias("doc_function"),
         by(form=d("Sari"), json=d("ds_name"), note=d("journalkeyhierarchy")).alias("series"),
