@@ -19,7 +19,7 @@ def _number(col: str):
 
 def _records(spark: SparkSession, folder: str):
     df = read_table(spark, folder, "rmk_records")
-    return df, plan_inlining(infer_schema_graph(df, "payload"), own_tables=["doc_proceeder"])
+    return df, plan_inlining(infer_schema_graph(df, "payload"), own_tables=["doc_proceeder", FILE])
 
 
 def file_objects(df: DataFrame, plan) -> DataFrame:

@@ -238,7 +238,8 @@ def parse_files(stored: DataFrame, extractors: Extractors | None = None) -> Data
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [r for p, c in zip(b["path"], b["content"]) if c is not None for r in unpack(p, bytes(c), extractors)[0]]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in FILES.split(", ")]).astype({"parent_id": "Int64"})
+            # As objects: a column of ids and nulls would become floating point and lose digits.
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FILES.split(", ")], dtype=object)
 
     return stored.select("path", "content").mapInPandas(rows, FILES)
 
