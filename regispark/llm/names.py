@@ -38,30 +38,63 @@ LEAST_PIVOT = 6
 ESTABLISHED = 3
 
 
-def osa(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours."""
+def osa(a: str, b: str, most: int = 3) -> int:
+    """Edit distance with swaps of neighbours, most + 1 if it is larger. Only a band around the diagonal is filled."""
     if a == b:
         return 0
-    before, row = [], list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        for j, cb in enumerate(b, 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    far = most + 1
+    before: list[int] = []
+    row = list(range(m + 1)) if m <= most else [*range(most + 1), *([far] * (m - most))]
+    for i in range(1, n + 1):
+        last, before = before, row
+        row = [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 cost = min(cost, last[j - 2] + 1)
-            row.append(cost)
-    return row[-1]
+            row[j] = min(cost, far)
+    return row[m]
 
 
 def radius(root: str) -> int:
     return 2 if len(root) >= 8 else 1 if len(root) >= 5 else 0
 
 
+#: From this length on a word is found by its segments instead of what is left of it.
+SEGMENTED = 33
+
+
 def remains(root: str) -> set[str]:
-    """What is left of a word when up to radius letters are deleted."""
-    out = {root}
-    for k in range(1, radius(root) + 1):
-        out |= {"".join(c for i, c in enumerate(root) if i not in gone) for gone in combinations(range(len(root)), k)}
+    """Keys of a word, such that two words within the radius share one.
+
+    Short words: what is left when up to radius letters are deleted. Long words: five segments, of which two edits
+    (a swap may touch two) leave one untouched, at most two places off; cut for each length a partner may have.
+    """
+    n = len(root)
+    if n < SEGMENTED:
+        out = {root}
+        for k in range(1, radius(root) + 1):
+            out |= {"".join(c for i, c in enumerate(root) if i not in gone) for gone in combinations(range(n), k)}
+        if n >= SEGMENTED - 2:
+            out |= _segments(root)
+        return out
+    return _segments(root)
+
+
+def _segments(root: str) -> set[str]:
+    out = set()
+    for length in range(max(5, len(root) - 2), len(root) + 3):
+        cuts = [length * k // 5 for k in range(6)]
+        for k in range(5):
+            for off in range(-2, 3):
+                at = cuts[k] + off
+                if at >= 0 and at + cuts[k + 1] - cuts[k] <= len(root):
+                    out.add(f"{length}:{k}:{root[at : at + cuts[k + 1] - cuts[k]]}")
     return out
 
 
