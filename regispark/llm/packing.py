@@ -34,11 +34,14 @@ MOST_BRANCHES = 4000
 
 
 def best_completion(room: int, sizes: list[int], left: dict[int, int], most: int = MOST_BRANCHES) -> list[int]:
-    """Items (largest first) that fill `room` with the least waste. sizes: ascending, those with left[size] > 0."""
-    best: list[int] = []
+    """Items (largest first) that fill `room` with the least waste. sizes: ascending, those with left[size] > 0.
+
+    A branch takes a number of items of one size and goes on with smaller ones, so the depth is bounded by the
+    different sizes that fit a container together.
+    """
+    best: list[tuple[int, int]] = []
     best_sum, branches = 0, 0
-    used: dict[int, int] = {}
-    chosen: list[int] = []
+    chosen: list[tuple[int, int]] = []
 
     def search(space: int, top: int, total: int) -> bool:
         nonlocal best, best_sum, branches
@@ -46,28 +49,23 @@ def best_completion(room: int, sizes: list[int], left: dict[int, int], most: int
             best, best_sum = list(chosen), total
             if best_sum == room:
                 return True
-        at = bisect_right(sizes, min(space, top)) - 1
+        at = min(top, bisect_right(sizes, space) - 1)
         while at >= 0:
-            branches += 1
-            if branches > most:
-                return True
             s = sizes[at]
-            # Waste bound: the items left from here on are no larger than s, so a branch whose best case adds
-            # nothing over the incumbent is dominated.
-            if total + s * (space // s) <= best_sum and s * (space // s) < space and at == 0:
-                return False
-            if left[s] > used.get(s, 0):
-                used[s] = used.get(s, 0) + 1
-                chosen.append(s)
-                if search(space - s, s, total + s):
+            for k in range(min(left[s], space // s), 0, -1):
+                branches += 1
+                if branches > most:
                     return True
+                chosen.append((s, k))
+                done = search(space - k * s, at - 1, total + k * s)
                 chosen.pop()
-                used[s] -= 1
+                if done:
+                    return True
             at -= 1
         return False
 
-    search(room, room, 0)
-    return best
+    search(room, len(sizes) - 1, 0)
+    return [s for s, k in best for _ in range(k)]
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
