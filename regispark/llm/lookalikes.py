@@ -126,10 +126,10 @@ def accepted_repairs(df: DataFrame, text_col: str) -> DataFrame:
                 words |= a
                 mixed |= b
             if len(words) > 200_000:
-                yield pd.DataFrame({"word": list(words), "token": None, "place": 0})
+                yield pd.DataFrame({"word": pd.Series(list(words), dtype=object), "token": pd.Series([None] * len(words), dtype=object), "place": 0})
                 words = set()
-        yield pd.DataFrame({"word": list(words), "token": None, "place": 0})
-        yield pd.DataFrame([(r, t, k) for t in mixed for k, r in enumerate(repairs(t))], columns=["word", "token", "place"])
+        yield pd.DataFrame({"word": pd.Series(list(words), dtype=object), "token": pd.Series([None] * len(words), dtype=object), "place": 0})
+        yield pd.DataFrame([(r, t, k) for t in mixed for k, r in enumerate(repairs(t))], columns=["word", "token", "place"], dtype=object)
 
     rows = df.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").mapInPandas(tokens, "word string, token string, place int")
     # One pass over the words, grouped by word: forms sought (bounded by the token's scripts) and whether the word occurs.
@@ -158,11 +158,11 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
     @F.pandas_udf(schema)
     def form(texts: pd.Series) -> pd.DataFrame:
         norm = [None if t is None else plain(t) for t in texts]
-        return pd.DataFrame({"n": norm if out_col else None, "k": [look_key(t) for t in norm]})
+        return pd.DataFrame({"n": pd.Series(norm if out_col else [None] * len(norm), dtype=object), "k": pd.Series([look_key(t) for t in norm], dtype=object)})
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def mixed_tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(_words(plain(t))[1]) for t in texts])
+        return pd.Series([sorted(_words(plain(t))[1]) for t in texts], dtype=object)
 
     @F.pandas_udf(schema)
     def fixed(texts: pd.Series, tokens: pd.Series, forms: pd.Series) -> pd.DataFrame:
@@ -171,7 +171,7 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
             by = {} if a is None else dict(zip(a, b))
             t = plain(t)
             norm.append(_TOKEN.sub(lambda m, by=by: by.get(m[0], m[0]), t) if by else t)
-        return pd.DataFrame({"n": norm if out_col else None, "k": [look_key(t) for t in norm]})
+        return pd.DataFrame({"n": pd.Series(norm if out_col else [None] * len(norm), dtype=object), "k": pd.Series([look_key(t) for t in norm], dtype=object)})
 
     h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
     plain_rows = df.where(~mixed).withColumn("__f", form(text))
