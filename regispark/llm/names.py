@@ -8,7 +8,8 @@ triangle inequality is every cell that can hold a partner. Inside a cell an exac
 whose rare words are within two edits (one for short ones), a swap of neighbours counting as one: names
 that close share a string left by deleting at most two letters, so the join is an equi-join on
 (pivot, remaining string), checked with the edit distance itself. Two spellings that are both well attested
-(three different ways of writing each) stay apart whatever their distance: they are namesakes.
+(three different ways of writing each) stay apart whatever their distance: they are namesakes. So do firms of
+different legal forms, and names two edits apart that both consist of usual triples of letters, as slips do not.
 
 Each name follows the nearest larger name of its cell, and so on up; the top is the entity. An initial or an
 abbreviation follows only if exactly one entity fits.
@@ -36,6 +37,7 @@ from regispark.session import cut_lineage, read_table
 PIVOT_SHARE = 0.004
 LEAST_PIVOT = 6
 ESTABLISHED = 3
+USUAL_SHARE = 5e-4
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
@@ -119,6 +121,20 @@ def learn_pivots(values: DataFrame) -> Pivots:
     return Pivots([r["word"] for r in rows], [r["word"] for r in rows if r["firms"] > 0.3 or r["word"] in institutions])
 
 
+def reads_well(root: str, usual: set[str]) -> bool:
+    w = f"^{root}$"
+    return all(w[i : i + 3] in usual for i in range(len(w) - 2))
+
+
+def usual_triples(nodes: DataFrame) -> set[str]:
+    """Triples of letters that many different rare words share. Bounded by the alphabet, not by the data."""
+    roots = nodes.where("rows > 0").select("root").distinct().where("root rlike '^[a-z]{5,40}$'")
+    least = max(3, USUAL_SHARE * roots.count())
+    w = F.concat(F.lit("^"), F.col("root"), F.lit("$"))
+    triples = roots.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))).alias("t"))
+    return {r["t"] for r in triples.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+
+
 def linked_names(values: DataFrame) -> DataFrame:
     """(value, entity) for each distinct value; values: value string, n bigint (rows that hold it)."""
     values = cut_lineage(values.where("value is not null and value rlike '[\\\\p{L}]'").groupBy("value").agg(F.sum("n").alias("n")))
@@ -129,29 +145,36 @@ def linked_names(values: DataFrame) -> DataFrame:
             rows = []
             for v, n in zip(b["value"], b["n"]):
                 found = readings(read_party(v), pivots.value)
-                rows += [(v, n, r.pivot, r.root, r.cost, len(found)) for r in found]
-            yield pd.DataFrame(rows, columns=["value", "n", "pivot", "root", "cost", "of"])
+                rows += [(v, n, r.pivot, r.root, r.form, r.cost, len(found)) for r in found]
+            yield pd.DataFrame(rows, columns=["value", "n", "pivot", "root", "form", "cost", "of"])
 
-    read_as = cut_lineage(values.mapInPandas(read, "value string, n bigint, pivot string, root string, cost int, of int"))
+    read_as = cut_lineage(values.mapInPandas(read, "value string, n bigint, pivot string, root string, form string, cost int, of int"))
     nodes = read_as.groupBy("pivot", "root").agg(
-        F.coalesce(F.sum(F.when(F.col("of") == 1, F.col("n"))), F.lit(0)).alias("rows"), F.count(F.when(F.col("of") == 1, 1)).alias("ways")
-    )
+        F.coalesce(F.sum(F.when(F.col("of") == 1, F.col("n"))), F.lit(0)).alias("rows"), F.count(F.when(F.col("of") == 1, 1)).alias("ways"),
+        F.max(F.when(F.col("form") != "", F.col("form"))).alias("form"),
+    )
+    usual = values.sparkSession.sparkContext.broadcast(usual_triples(nodes))
 
     def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(xxhash.xxh64_intdigest(f"{p}\x00{k}") - (1 << 63), p, r, n, w) for p, r, n, w in zip(b["pivot"], b["root"], b["rows"], b["ways"]) for k in remains(r)]
-            yield pd.DataFrame(out, columns=["key", "pivot", "root", "rows", "ways"])
+            out = [(xxhash.xxh64_intdigest(f"{p}\x00{k}") - (1 << 63), p, r, n, w, f) for p, r, n, w, f in zip(b["pivot"], b["root"], b["rows"], b["ways"], b["form"]) for k in remains(r)]
+            yield pd.DataFrame(out, columns=["key", "pivot", "root", "rows", "ways", "form"])
 
-    keyed = nodes.mapInPandas(keys, "key bigint, pivot string, root string, rows bigint, ways bigint")
+    keyed = nodes.mapInPandas(keys, "key bigint, pivot string, root string, rows bigint, ways bigint, form string")
     size = lambda x: F.struct(F.col(f"{x}ways"), F.col(f"{x}rows"), F.col(f"{x}root"))
     # Of each key only the names of one cell remain; the larger is the hub. Every name meets every larger one that shares its key.
-    small = keyed.select("key", F.col("pivot"), F.col("root").alias("a_root"), F.col("rows").alias("a_rows"), F.col("ways").alias("a_ways"))
-    large = keyed.where("rows > 0").select("key", F.col("pivot"), F.col("root").alias("b_root"), F.col("rows").alias("b_rows"), F.col("ways").alias("b_ways"))
-    pairs = small.join(large, ["key", "pivot"]).where(size("b_") > size("a_")).where((F.col("a_ways") < ESTABLISHED) | (F.col("b_ways") < ESTABLISHED)).drop("key").distinct()
+    small = keyed.select("key", F.col("pivot"), F.col("root").alias("a_root"), F.col("rows").alias("a_rows"), F.col("ways").alias("a_ways"), F.col("form").alias("a_form"))
+    large = keyed.where("rows > 0").select("key", F.col("pivot"), F.col("root").alias("b_root"), F.col("rows").alias("b_rows"), F.col("ways").alias("b_ways"), F.col("form").alias("b_form"))
+    pairs = small.join(large, ["key", "pivot"]).where(size("b_") > size("a_")).where((F.col("a_ways") < ESTABLISHED) | (F.col("b_ways") < ESTABLISHED)).where("a_form is null or b_form is null or a_form = b_form").drop("key").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([osa(x, y) for x, y in zip(a, b)], dtype="int32")
+        out = []
+        for x, y in zip(a, b):
+            d = osa(x, y)
+            # Two edits between two words that both read like names are two names.
+            out.append(9 if d > 1 and usual.value and reads_well(x, usual.value) and reads_well(y, usual.value) else d)
+        return pd.Series(out, dtype="int32")
 
     reach = F.when(F.least(F.length("a_root"), F.length("b_root")) >= 8, 2).when(F.least(F.length("a_root"), F.length("b_root")) >= 5, 1).otherwise(0)
     near = pairs.withColumn("d", distance("a_root", "b_root")).where(F.col("d") <= reach)
