@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from regispark.llm.parties import INSTITUTIONS, Pivots, fold, read_party, readings
 from regispark.operators.shredding import _members, parse_record
-from regispark.session import cut_lineage, read_table
+from regispark.session import cut_lineage, parallelism, read_table
 
 #: A word of at least this share of the values is a pivot, so there are at most words-per-value / PIVOT_SHARE.
 PIVOT_SHARE = 0.004
@@ -160,7 +160,8 @@ def linked_names(values: DataFrame) -> DataFrame:
             out = [(xxhash.xxh64_intdigest(f"{p}\x00{k}") - (1 << 63), p, r, n, w, f) for p, r, n, w, f in zip(b["pivot"], b["root"], b["rows"], b["ways"], b["form"]) for k in remains(r)]
             yield pd.DataFrame(out, columns=["key", "pivot", "root", "rows", "ways", "form"])
 
-    keyed = nodes.mapInPandas(keys, "key bigint, pivot string, root string, rows bigint, ways bigint, form string")
+    # A name makes many keys, so the few names are spread before.
+    keyed = nodes.repartition(parallelism(nodes)).mapInPandas(keys, "key bigint, pivot string, root string, rows bigint, ways bigint, form string")
     size = lambda x: F.struct(F.col(f"{x}ways"), F.col(f"{x}rows"), F.col(f"{x}root"))
     # Of each key only the names of one cell remain; the larger is the hub. Every name meets every larger one that shares its key.
     small = keyed.select("key", F.col("pivot"), F.col("root").alias("a_root"), F.col("rows").alias("a_rows"), F.col("ways").alias("a_ways"), F.col("form").alias("a_form"))
