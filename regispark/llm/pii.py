@@ -308,9 +308,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
-    """Every mail with its personal information replaced."""
-    mails, _, lex = _sources(spark, folder)
-    return mask_pii(mails, "contents", lex).select("id", "masked")
+    """Every mail and every decoded counterparty with its personal information replaced, keyed as in `p4_found`."""
+    mails, actors, lex = _sources(spark, folder)
+    a = mask_pii(mails, "contents", lex).select(F.lit("files").alias("tbl"), F.col("id").alias("row_id"), "masked")
+    b = mask_pii(actors, "value", lex, party=True).select(F.lit("rmk_records").alias("tbl"), F.col("fetch_id").alias("row_id"), "masked")
+    return a.unionByName(b)
 
 
 QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked}

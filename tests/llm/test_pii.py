@@ -49,3 +49,13 @@ def test_tables(spark):
     masked = {r["id"]: r["masked"] for r in pii.mask_pii(df, "t", lex).collect()}
     assert masked[0] == "Lugupeetud [NAME]!\nKirjutan [EMAIL]" and masked[1] is None and masked[2] == ""
     assert pii.find_pii(df.limit(0), "t", lex, ["id"]).count() == 0
+
+
+def test_masked_query_gives_mails_and_counterparties(spark, tmp_path):
+    mail = "Lugupeetud Liisa Tarmukivi!\nKirjutan a@b.test"
+    spark.createDataFrame([(1, "MsgParser", mail), (2, "MsgParser", mail), (3, "PdfParser", mail), (4, "MsgParser", None)], "id bigint, parsed_with string, contents string").write.parquet(f"{tmp_path}/files.parquet")
+    payloads = ['{"data": [{"doc_trans_actor": "Liisa Tarmukivi, a@b.test"}, {"doc_trans_actor": "Metsa Amet"}]}', '{"data": {"doc_trans_actor": "Liisa Halnumetsa"}}', "{", None]
+    spark.createDataFrame(list(enumerate(payloads, 1)), "fetch_id bigint, payload string").write.parquet(f"{tmp_path}/rmk_records.parquet")
+    got = sorted(tuple(r[c] for c in ("tbl", "row_id", "masked")) for r in pii.p4_masked(spark, str(tmp_path)).collect())
+    want = [("files", k, "Lugupeetud [NAME]!\nKirjutan [EMAIL]") for k in (1, 2)]
+    assert got == [*want, ("rmk_records", 1, "Metsa Amet"), ("rmk_records", 1, "[NAME], [EMAIL]"), ("rmk_records", 2, "[NAME]")]
