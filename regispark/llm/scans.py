@@ -11,7 +11,9 @@
    then the rest is reflowed.
 
 Bounds on what is broadcast: `MOST_WORDS` vocabulary entries (a word takes part if it makes up 1 / MOST_WORDS of all
-words), `VECTORS` x `DIMENSIONS` numbers, and the letter triples of the alphabets.
+words) with `DIMENSIONS` small numbers each, and the letter triples of the alphabets. Every vocabulary
+word is a row of the matrix and counts as a neighbour: the `CONTEXTS` most frequent have a column each, the others share
+as many. Rows stay in the executors: the driver receives sums over them and the finished vectors.
 
 Defined results for odd input: null and empty texts give no finding and stay as they are; a text of blank lines
 gives no finding; ties between candidates go to the more frequent, then to the first in binary order; repeated
@@ -35,7 +37,8 @@ from regispark.session import cut_lineage, read_table
 
 MOST_WORDS = 1_000_000
 LEAST_COUNT = 5
-VECTORS, CONTEXTS, DIMENSIONS = 4000, 512, 48
+CONTEXTS, DIMENSIONS = 512, 48
+COLUMNS = 2 * CONTEXTS
 RATIO = 15
 LONGEST_WORD = 64  #: a longer run of letters is no word and stays as it is
 NAME_GAIN = 3.0
@@ -186,10 +189,21 @@ def _counted(text: str) -> Iterator[str]:
                 yield w
 
 
+class Vectors:
+    """Unit vectors of words, one row each of a small matrix; a word that begins large has that of its small form if it has none."""
+
+    def __init__(self, at: dict[str, int], rows: np.ndarray) -> None:
+        self.at, self.rows = at, rows
+
+    def get(self, word: str) -> np.ndarray | None:
+        i = self.at.get(word, self.at.get(word[:1].lower() + word[1:]))
+        return None if i is None else self.rows[i].astype(np.float32)
+
+
 class ScanModel:
     """Vocabulary with counts, skip-gram vectors, letter triples; and what they say about a word."""
 
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], triples: dict[str, float], pairs: dict[str, float]) -> None:
+    def __init__(self, counts: dict[str, int], vectors: Vectors, triples: dict[str, float], pairs: dict[str, float]) -> None:
         self.counts, self.vectors, self.triples, self.pairs = counts, vectors, triples, pairs
         self.seen: dict[str, list[tuple[str, float]]] = {}
 
@@ -271,10 +285,11 @@ class ScanModel:
         found = self.candidates(word)
         if not found:
             return word
-        if len(found) > 1 and (near := [self.vectors[w] for w in around if w in self.vectors]):
+        if len(found) > 1 and (near := [v for w in around if (v := self.vectors.get(w)) is not None]):
             mean = np.sum(near, axis=0)
             size = float(np.linalg.norm(mean)) or 1.0
-            found = sorted(found, key=lambda c: (-(c[1] + 4.0 * float(self.vectors[c[0]] @ mean) / size if c[0] in self.vectors else c[1]), c[0]))
+            fit = {w: 0.0 if (v := self.vectors.get(w)) is None else float(v @ mean) / size for w, _ in found}
+            found = sorted(found, key=lambda c: (-(c[1] + 4.0 * fit[c[0]]), c[0]))
         return found[0][0]
 
     def whole(self, head: str, rest: str, hyphen: str, around: list[str]) -> str:
@@ -381,38 +396,76 @@ def learn_model(df: DataFrame, text_col: str) -> ScanModel:
     pairs: dict[str, float] = {}
     for g, n in triples.items():
         pairs[g[:2]] = pairs.get(g[:2], 0.0) + n
-    order = sorted((w for w in counts if w.isalpha()), key=lambda w: (-counts[w], w))
-    targets, contexts = {w: i for i, w in enumerate(order[:VECTORS])}, {w: i for i, w in enumerate(order[:CONTEXTS])}
-    shared = df.sparkSession.sparkContext.broadcast((targets, contexts))
+    return ScanModel(counts, learn_vectors(texts, counts), triples, pairs)
+
+
+def learn_vectors(texts: DataFrame, counts: dict[str, int]) -> Vectors:
+    """The vector of every word of `counts`, from the neighbours it has in texts (column text)."""
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    at = {w: i for i, w in enumerate(order)}
+    shared = texts.sparkSession.sparkContext.broadcast(at)
 
     def neighbours(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, c = shared.value
+        rank = shared.value
         n: Counter[int] = Counter()
         for b in batches:
             for text in b["text"]:
-                row = [(t.get(w), c.get(w)) for line in text.split("\n") for w in (x.strip(EDGE) for x in line.split())]
-                for j, (w, own) in enumerate(row):
-                    for x, other in row[j + 1 : j + 3]:
-                        if w is not None and other is not None:
-                            n[w * CONTEXTS + other] += 1
-                        if x is not None and own is not None:
-                            n[x * CONTEXTS + own] += 1
+                row = [rank.get(w) for line in text.split("\n") for w in (x.strip(EDGE) for x in line.split())]
+                column = [i if i is None or i < CONTEXTS else CONTEXTS + i % CONTEXTS for i in row]
+                for d in (1, 2):
+                    for w, x, own, other in zip(row, row[d:], column, column[d:]):
+                        if w is not None and x is not None:
+                            n[w * COLUMNS + other] += 1
+                            n[x * COLUMNS + own] += 1
+            if len(n) > 500_000:
+                yield pd.DataFrame(list(n.items()), columns=["cell", "n"])
+                n.clear()
         yield pd.DataFrame(list(n.items()), columns=["cell", "n"])
 
-    cells = texts.mapInPandas(neighbours, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    m = np.zeros((max(1, len(targets)), CONTEXTS))
-    for r in cells:
-        m[r["cell"] // CONTEXTS, r["cell"] % CONTEXTS] = r["n"]
-    all_of = m.sum() or 1.0
-    expected = np.outer(m.sum(1), m.sum(0) ** 0.75) / max(float((m.sum(0) ** 0.75).sum()), 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.where(m > 0, np.maximum(np.log(m / np.maximum(expected, 1e-12)), 0.0), 0.0)
-    # Principal axes by the contexts' Gram matrix: CONTEXTS x CONTEXTS, whatever the vocabulary.
-    values, axes = np.linalg.eigh(pmi.T @ pmi)
-    vec = pmi @ axes[:, ::-1][:, :DIMENSIONS]
-    vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
-    del values, all_of
-    return ScanModel(counts, {w: vec[i].astype(np.float32) for w, i in targets.items()}, triples, pairs)
+    # A row of the matrix is the list of its full cells, each as count * COLUMNS + column.
+    cells = texts.mapInPandas(neighbours, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = cut_lineage(cells.selectExpr(f"cell div {COLUMNS} word", f"n * {COLUMNS} + cell % {COLUMNS} c").groupBy("word").agg(F.collect_list("c").alias("cells")))
+    column = np.zeros(COLUMNS)
+    for r in rows.select(F.explode("cells").alias("c")).groupBy(F.expr(f"c % {COLUMNS}").alias("k")).agg(F.sum(F.expr(f"c div {COLUMNS}")).alias("n")).collect():
+        column[r["k"]] = r["n"] ** 0.75
+    share = column / max(float(column.sum()), 1.0)
+
+    def information(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words and their rows of positive pointwise mutual information, a thousand at a time."""
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                some = b.iloc[i : i + 1000]
+                m = np.zeros((len(some), COLUMNS))
+                for k, c in enumerate(some["cells"]):
+                    m[k, c % COLUMNS] = c // COLUMNS
+                expected = np.outer(m.sum(1), share)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    yield some["word"].to_numpy(), np.where(m > 0, np.maximum(np.log(m / np.maximum(expected, 1e-12)), 0.0), 0.0)
+
+    def gram(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((COLUMNS, COLUMNS))
+        for _, pmi in information(batches):
+            g += pmi.T @ pmi
+        yield pd.DataFrame({"part": range(16), "g": [x.tobytes() for x in np.split(g, 16)]})
+
+    def added(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": b["part"][:1], "g": [np.sum([np.frombuffer(x) for x in b["g"]], axis=0).tobytes()]})
+
+    # Principal axes by the contexts' Gram matrix: COLUMNS x COLUMNS, whatever the vocabulary.
+    parts = rows.mapInPandas(gram, "part int, g binary").groupBy("part").applyInPandas(added, "part int, g binary").collect()
+    whole = np.frombuffer(b"".join(bytes(r["g"]) for r in sorted(parts, key=lambda r: r["part"]))).reshape(-1, COLUMNS) if parts else np.zeros((COLUMNS, COLUMNS))
+    axes = np.linalg.eigh(whole)[1][:, ::-1][:, :DIMENSIONS]
+
+    def project(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for words, pmi in information(batches):
+            vec = pmi @ axes
+            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
+            yield pd.DataFrame({"words": [words.astype(np.int64).tobytes()], "vec": [vec.astype(np.float16).tobytes()]})
+
+    out = np.zeros((len(order), DIMENSIONS), dtype=np.float16)
+    for r in rows.mapInPandas(project, "words binary, vec binary").collect():
+        out[np.frombuffer(r["words"], dtype=np.int64)] = np.frombuffer(r["vec"], dtype=np.float16).reshape(-1, DIMENSIONS)
+    return Vectors(at, out)
 
 
 def scan_findings(df: DataFrame, id_col: str, text_col: str, model: ScanModel | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+
 from regispark.llm import scans as sc
 
 GOOD = "Kontrollimisel tuvastati puudust, neist olulisim puudutab hooldust ja talitus esitas taotluse. Piirangu alus on lisatud toimikusse."
@@ -45,3 +47,14 @@ def test_odd_tables(spark):
     assert sc.scan_findings(clash, "id", "contents").where("id = 60").count() == 1
     assert found(spark, GOOD + " fuvastati" + " tuvastati" * 50_000)[0] == {(1, "bad_char", "tuvastati")}
     assert found(spark, None, "", "\n \n") == {}
+
+
+def test_every_vocabulary_word_has_a_vector(spark):
+    """Rare words behind 4500 more frequent ones, with neighbours as rare as they are."""
+    letters = "bdgjkprvxy"
+    many = [a + "a" + b + "a" + c + "a" + d for a in letters for b in letters for c in letters for d in letters][:4500]
+    texts = ["ja " + " ja ".join(many)] * 6 + ["üks kaks hanu kolm neli", "üks kaks halu kolm neli", "viis kuus hann seitse kaheksa"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, contents string")
+    v = sc.learn_model(df, "contents").vectors
+    assert all(v.get(w) is not None and np.linalg.norm(v.get(w)) > 0.9 for w in ("hanu", "hann", many[0], many[-1]))
+    assert float(v.get("hanu") @ v.get("halu")) > 0.9 > float(v.get("hanu") @ v.get("hann"))
