@@ -4,8 +4,9 @@
 2. Skip-gram vectors of the vocabulary: skip-gram with negative sampling factorises the matrix of pointwise mutual
    information of words and their neighbours (Levy and Goldberg 2014), so the vectors are had by counting all
    neighbours within two words and a truncated singular value decomposition.
-3. A rare word is linked to the frequent words that a plausible misreading of glyphs turns into it. Where several
-   fit, the neighbours' vectors decide. A word with no such link (a name) is judged by a model of letter
+3. A word is linked to the more frequent words that a plausible misreading of glyphs turns into it, if they are
+   `RATIO` times as frequent or the vectors say that both are used alike. Where several fit, the neighbours' vectors
+   decide. A word with no such link (a name) is judged by a model of letter
    triples of all words, and changed only if a misreading explains it far better.
 4. Page-number lines and running headers are found by shape, by place at a page boundary and by repetition,
    then the rest is reflowed.
@@ -40,6 +41,7 @@ LEAST_COUNT = 5
 CONTEXTS, DIMENSIONS = 512, 48
 COLUMNS = 2 * CONTEXTS
 RATIO = 15
+ALIKE = 0.8  #: cosine from which two words are used alike
 LONGEST_WORD = 64  #: a longer run of letters is no word and stays as it is
 NAME_GAIN = 3.0
 RARE_STEP = math.log(0.006)
@@ -203,8 +205,8 @@ class Vectors:
 class ScanModel:
     """Vocabulary with counts, skip-gram vectors, letter triples; and what they say about a word."""
 
-    def __init__(self, counts: dict[str, int], vectors: Vectors, triples: dict[str, float], pairs: dict[str, float]) -> None:
-        self.counts, self.vectors, self.triples, self.pairs = counts, vectors, triples, pairs
+    def __init__(self, counts: dict[str, int], vectors: Vectors, triples: dict[str, float], pairs: dict[str, float], least: float = LEAST_COUNT) -> None:
+        self.counts, self.vectors, self.triples, self.pairs, self.least = counts, vectors, triples, pairs, max(LEAST_COUNT, least)
         self.seen: dict[str, list[tuple[str, float]]] = {}
 
     def steps(self, word: str) -> list[float]:
@@ -244,24 +246,29 @@ class ScanModel:
         digits = sum(map(str.isdigit, word))
         if digits and (digits > 2 or letters < 3):
             return []
+        # Of a word outside the vocabulary it is known only that it has less than `least`.
         own = self.counts.get(word, 0)
-        if own * RATIO > self.top:
+        unseen = self.least / LEAST_COUNT
+        if own >= self.top:
             return []
         low = {}
         for twice in (False, True):
-            if twice and (low or own >= LEAST_COUNT):
+            if twice and low:
                 break
             for v, how in self.misread(word, twice).items():
                 n = self.counts.get(v, 0)
                 if not n and v[:1].isupper():
                     n = self.counts.get(v[:1].lower() + v[1:], 0)
-                if n >= max(LEAST_COUNT, RATIO * (own or 1) if not digits else LEAST_COUNT) and (n >= RATIO * 2 or how[0] in STRONG):
+                if n < self.least or n <= own or not (n >= RATIO * 2 * unseen or how[0] in STRONG):
+                    continue
+                # Far more frequent, or used in the same places: either tells a misreading; two at once need both if the word is in the vocabulary.
+                frequent = bool(digits) or n >= RATIO * (own or unseen)
+                if (frequent and (len(how) == 1 or not own or digits or self.alike(word, v))) or (not frequent and own and len(how) == 1 and self.alike(word, v)):
                     low[v] = math.log(n) - 2.0 * (len(how) - 1)
         if low:
             return sorted(low.items(), key=lambda x: (-x[1], x[0]))
-        if own >= 2 * LEAST_COUNT and not digits:
-            return []
-        # No frequent relative: letters decide.
+        # No frequent relative: letters decide, but what is well attested is misread only for something more frequent.
+        attested = own >= 2 * self.least and not digits
         steps = self.steps(word)
         if not digits and min(steps) > RARE_STEP:
             return []  # every triple of letters is usual: a name nobody has to explain
@@ -270,10 +277,16 @@ class ScanModel:
         for v, how in self.misread(word, digits > 1).items():
             if all(h in STRONG for h in how) and not (digits and any(c.isdigit() for c in v)):
                 new = self.steps(v)
+                if attested and self.counts.get(v, 0) <= own:
+                    continue
                 if sum(new) - base > (0.0 if digits else NAME_GAIN) and (digits or min(new) > RARE_STEP):
                     good[v] = sum(new) - base
         return sorted(((v, g) for v, g in good.items()), key=lambda x: (-x[1], x[0]))[:1]
 
+    def alike(self, a: str, b: str) -> bool:
+        x, y = self.vectors.get(a), self.vectors.get(b)
+        return x is not None and y is not None and float(x @ y) >= ALIKE
+
     @property
     def top(self) -> int:
         if not hasattr(self, "_top"):
@@ -385,7 +398,8 @@ def learn_model(df: DataFrame, text_col: str) -> ScanModel:
 
     words = cut_lineage(texts.mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
-    counts = {r["word"]: r["n"] for r in words.where(F.col("n") >= max(LEAST_COUNT, total / MOST_WORDS)).collect()}
+    least = max(LEAST_COUNT, total / MOST_WORDS)
+    counts = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).collect()}
     marked = F.concat(F.lit("^^"), F.lower("word"), F.lit("$"))
     grams = (
         words.where("word rlike '^[\\\\p{L}-]{3,40}$'").select(marked.alias("w"))
@@ -396,7 +410,7 @@ def learn_model(df: DataFrame, text_col: str) -> ScanModel:
     pairs: dict[str, float] = {}
     for g, n in triples.items():
         pairs[g[:2]] = pairs.get(g[:2], 0.0) + n
-    return ScanModel(counts, learn_vectors(texts, counts), triples, pairs)
+    return ScanModel(counts, learn_vectors(texts, counts), triples, pairs, least)
 
 
 def learn_vectors(texts: DataFrame, counts: dict[str, int]) -> Vectors:
@@ -451,8 +465,8 @@ def learn_vectors(texts: DataFrame, counts: dict[str, int]) -> Vectors:
     def added(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": b["part"][:1], "g": [np.sum([np.frombuffer(x) for x in b["g"]], axis=0).tobytes()]})
 
-    # Principal axes by the contexts' Gram matrix: COLUMNS x COLUMNS, whatever the vocabulary.
-    parts = rows.mapInPandas(gram, "part int, g binary").groupBy("part").applyInPandas(added, "part int, g binary").collect()
+    # Principal axes by the contexts' Gram matrix: COLUMNS x COLUMNS, whatever the vocabulary; few partial sums.
+    parts = rows.coalesce(32).mapInPandas(gram, "part int, g binary").groupBy("part").applyInPandas(added, "part int, g binary").collect()
     whole = np.frombuffer(b"".join(bytes(r["g"]) for r in sorted(parts, key=lambda r: r["part"]))).reshape(-1, COLUMNS) if parts else np.zeros((COLUMNS, COLUMNS))
     axes = np.linalg.eigh(whole)[1][:, ::-1][:, :DIMENSIONS]
 

@@ -58,3 +58,12 @@ def test_every_vocabulary_word_has_a_vector(spark):
     v = sc.learn_model(df, "contents").vectors
     assert all(v.get(w) is not None and np.linalg.norm(v.get(w)) > 0.9 for w in ("hanu", "hann", many[0], many[-1]))
     assert float(v.get("hanu") @ v.get("halu")) > 0.9 > float(v.get("hanu") @ v.get("hann"))
+
+
+def test_recurring_misreadings_are_found_whatever_the_size(spark):
+    """A misreading less than 15 times as rare as its word, at one size and at eight times that size; a real word stays."""
+    rows = [GOOD] * 60 + [GOOD.replace("tuvastati", "fuvastati")] * 6 + ["Nende aastate enne oli pikk ja lai."] * 12 + ["Vana kiri, mille ennc kirjutas sai otsa."] * 6
+    for times in (1, 8):
+        df = spark.createDataFrame(list(enumerate(rows * times)), "id bigint, contents string")
+        got = {(r["word"], r["n"]) for r in sc.scan_findings(df, "id", "contents").groupBy("word").count().withColumnRenamed("count", "n").collect()}
+        assert got == {("tuvastati", 6 * times)}
