@@ -6,10 +6,12 @@ Two passes decide about each line of a body.
    embedded messages of the thread; a heading of mail-program style reaches to the end of the body, an
    attribution reaches over the lines marked with ">"; sign-offs, signatures, disclaimers and device notes end
    what the sender wrote, postscripts resume it.
-2. Threads, between messages: a message that quotes a line which exactly one other message wrote descends from
-   it. Rolling-hash shingles of its remaining lines are then compared with those of its ancestors, and lines
-   inherited without any mark are removed. All joins are on (message, hash) with one side unique, so that a line
-   that very many messages share (a greeting, a disclaimer) pairs with nothing.
+2. Threads, between messages: a message descends from the one that wrote a line it quotes, by ">" or below a heading.
+   Exact copies of a body count as one message, and of several writers of a line the one with the smallest id stands
+   for all, so the joins are on (message, hash) with one side unique and a line that very many messages share pairs
+   each of them with one. Ancestors are followed up. A message's new lines are then compared with those of each
+   ancestor: equal long lines, and lines whose words all lie in runs of `SHINGLE` words that the ancestor has too,
+   however its lines were broken, are inherited without any mark and removed.
 
 Defined results for odd input: a null or empty body gives no lines; blank lines are never new; lines are counted
 from 1 after splitting at "\\n"; a body without any structure is new as a whole; repeated rows give equal lines;
@@ -78,23 +80,28 @@ def _is_signature(lines: list[str], at: int, end: int) -> bool:
     return len(block) <= 8 and not any(_SENTENCE_END.search(x) and len(x.split()) > 6 for x in block[1:])
 
 
-def new_lines(body: str) -> list[int]:
-    """Numbers of the lines that are newly written, by the structure of the body."""
-    lines = [x.rstrip("\r") for x in body.split("\n")]
+SHINGLE = 8  #: words in a row
+
+
+def heading_at(lines: list[str]) -> int:
+    """Place of the heading of mail-program style that opens the embedded message, the number of lines if there is none."""
     n = len(lines)
-    end = n
     for i, line in enumerate(lines):
         if _quoted(line):
             continue
         if _RULE_HEADING.match(line):
-            end = i
-        elif _RULE.match(line) and i + 1 < n and _SENDER_FIELD.match(lines[i + 1]):
-            end = i
-        elif _SENDER_FIELD.match(line) and i + 1 < n and _FIELD.match(lines[i + 1]) and (i + 2 >= n or _FIELD.match(lines[i + 2]) or not lines[i + 2].strip()):
-            end = i
-        else:
-            continue
-        break
+            return i
+        if _RULE.match(line) and i + 1 < n and _SENDER_FIELD.match(lines[i + 1]):
+            return i
+        if _SENDER_FIELD.match(line) and i + 1 < n and _FIELD.match(lines[i + 1]) and (i + 2 >= n or _FIELD.match(lines[i + 2]) or not lines[i + 2].strip()):
+            return i
+    return n
+
+
+def new_lines(body: str) -> list[int]:
+    """Numbers of the lines that are newly written, by the structure of the body."""
+    lines = [x.rstrip("\r") for x in body.split("\n")]
+    end = heading_at(lines)
     out, signed, i = [], False, 0
     while i < end:
         line = lines[i]
@@ -143,6 +150,27 @@ def shingle_hash(line: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if len(text) >= 30 else 0
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"^[>\s]+", "", text).lower().split()
+
+
+def inherited_lines(own: list[tuple[int, str]], ancestor: list[str]) -> list[int]:
+    """Numbers of those lines of `own` that are, however broken, text of the ancestor's lines: equal long ones and ones inside shared runs of words."""
+    theirs = [w for line in ancestor for w in _words(line)]
+    runs = {hash(tuple(theirs[i : i + SHINGLE])) for i in range(len(theirs) - SHINGLE + 1)}
+    whole = {h for line in ancestor if (h := shingle_hash(line))}
+    words = [(k, w) for k, line in own for w in _words(line)]
+    held = [False] * len(words)
+    upto = 0
+    for i in range(len(words) - SHINGLE + 1):
+        if hash(tuple(w for _, w in words[i : i + SHINGLE])) in runs:
+            for j in range(max(i, upto), i + SHINGLE):
+                held[j] = True
+            upto = i + SHINGLE
+    rest = {k for (k, _), h in zip(words, held) if not h}
+    return [k for k, line in own if (_words(line) and k not in rest) or shingle_hash(line) in whole]
+
+
 def new_text_lines(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """(id, line_no) of the newly written, non-blank lines of every body."""
 
@@ -150,25 +178,43 @@ def new_text_lines(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
         for b in batches:
             rows = []
             for key, body in zip(b["id"], b["body"]):
-                own = set(new_lines(body))
-                for k, line in enumerate(body.split("\n"), 1):
+                own, split = set(new_lines(body)), body.split("\n")
+                below = heading_at([x.rstrip("\r") for x in split]) + 1
+                copy = int.from_bytes(blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                for k, line in enumerate(split, 1):
                     if k in own:
-                        rows.append((key, k, shingle_hash(line), True))
-                    elif _quoted(line) and (h := shingle_hash(line)) and not _DISCLAIMER.search(line):
-                        rows.append((key, k, h, False))
-            yield pd.DataFrame(rows, columns=["id", "line_no", "h", "own"])
+                        rows.append((key, k, shingle_hash(line), True, copy))
+                    elif (_quoted(line) or k > below) and (h := shingle_hash(line)) and not _DISCLAIMER.search(line):
+                        rows.append((key, k, h, False, copy))
+            yield pd.DataFrame(rows, columns=["id", "line_no", "h", "own", "copy"])
 
     kind = df.schema[id_col].dataType.simpleString()
     bodies = df.select(F.col(id_col).alias("id"), F.col(body_col).cast("string").alias("body")).where("body is not null and body <> ''")
-    rows = cut_lineage(bodies.mapInPandas(lines, f"id {kind}, line_no int, h bigint, own boolean"))
+    rows = cut_lineage(bodies.mapInPandas(lines, f"id {kind}, line_no int, h bigint, own boolean, copy bigint"))
     own, keyed = rows.where("own"), rows.where("h <> 0 and id is not null")
-    # Reference: a quoted line that exactly one other message wrote. One row a hash, so no key grows.
-    sources = keyed.where("own").groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source = last").select("h", "source")
-    edges = keyed.where("not own").select("id", "h").join(sources, "h").where("id <> source").select("id", "source").distinct()
+    # Reference: the writer of a quoted line. One row a hash, so no key grows; copies of a body are one writer, no message its own source.
+    sources = keyed.where("own").groupBy("h").agg(F.min(F.struct("id", "copy")).alias("s")).select("h", F.col("s.id").alias("source"), F.col("s.copy").alias("written"))
+    edges = cut_lineage(keyed.where("not own").select("id", "h", "copy").join(sources, "h").where("id <> source and copy <> written").select("id", "source").distinct())
+    # Ancestors of ancestors; each round doubles the reach.
+    n = edges.count()
+    while n:
+        up = edges.select(F.col("id").alias("source"), F.col("source").alias("top"))
+        edges = cut_lineage(edges.unionByName(edges.join(up, "source").select("id", F.col("top").alias("source")).where("id <> source")).distinct())
+        if n == (n := edges.count()):
+            break
+
+    def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, body, theirs in zip(b["id"], b["body"], b["theirs"]):
+                mine, split, above = new_lines(body), body.split("\n"), theirs.split("\n")
+                out += [(key, k) for k in inherited_lines([(k, split[k - 1]) for k in mine], [above[k - 1] for k in new_lines(theirs)])]
+            yield pd.DataFrame(out, columns=["id", "line_no"])
+
+    texts = bodies.where("id is not null")
     inherited = (
-        keyed.where("own").join(edges, "id").select("id", "line_no", "h", "source")
-        .join(keyed.where("own").select(F.col("id").alias("source"), "h").distinct(), ["source", "h"])
-        .select("id", "line_no").distinct()
+        edges.join(texts, "id").join(texts.select(F.col("id").alias("source"), F.col("body").alias("theirs")), "source").select("id", "body", "theirs")
+        .mapInPandas(compared, f"id {kind}, line_no int").distinct()
     )
     return own.select("id", "line_no").join(inherited, ["id", "line_no"], "left_anti")
 

@@ -28,3 +28,17 @@ def test_inherited_lines_are_removed(spark):
 def test_long_bodies(spark):
     df = spark.createDataFrame([(1, "\n".join(["Rida tekstiga."] * 20_000))], "id bigint, contents string")
     assert new_text_lines(df, "id", "contents").count() == 20_000
+
+
+def test_threads_through_copies_headings_and_other_line_breaks(spark):
+    other = "Ja teine üsna pikk lause selles kirjas kah."
+    first = f"Tere\n{LONG}\n{other}"
+    quoted = f"Liisa kirjutas 1.2.2024:\n> {LONG}\n"
+    rows = [
+        (1, first), (2, first), (3, f"{quoted}Minu vastus.\n{other}"),
+        (4, f"Edastan.\n{other}\n\n-----Algne sõnum-----\nSaatja: A\nTeema: B\n\n{LONG}"),
+        (5, f"{quoted}Uus mõte.\nSee on üks täiesti tavaline pikk\nlause kirja sees. Ja\nteine üsna pikk lause selles kirjas kah."),
+        (6, f"Esimene oma lause on siin vastuses täiesti olemas.\n{quoted}"), (7, f"Mari kirjutas 2.2.2024:\n> Esimene oma lause on siin vastuses täiesti olemas.\nNii on.\n{other}"),
+    ]
+    got = sorted(tuple(r) for r in new_text_lines(spark.createDataFrame(rows, "id bigint, contents string"), "id", "contents").collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3), (4, 1), (5, 3), (6, 1), (7, 3)]
