@@ -8,7 +8,8 @@ triangle inequality is every cell that can hold a partner. Inside a cell an exac
 whose rare words are within two edits (one for short ones), a swap of neighbours counting as one: names
 that close share a string left by deleting at most two letters, so the join is an equi-join on
 (pivot, remaining string), checked with the edit distance itself. Two spellings that are both well attested
-(three different ways of writing each) stay apart whatever their distance: they are namesakes. So do firms of
+(three different ways of writing each) are namesakes and stay apart, unless they are one edit apart and one has `SLIPS`
+times the rows of the other: slips recur as a share of the rows of a name. Also apart stay firms of
 different legal forms, and names two edits apart that both consist of usual triples of letters, as slips do not.
 
 Each name follows the nearest larger name of its cell, and so on up; the top is the entity. An initial or an
@@ -37,6 +38,7 @@ from regispark.session import cut_lineage, parallelism, read_table
 PIVOT_SHARE = 0.004
 LEAST_PIVOT = 6
 ESTABLISHED = 3
+SLIPS = 50  #: a name with so many times the rows of another explains it as a slip, however often that recurs
 USUAL_SHARE = 5e-4
 
 
@@ -166,7 +168,7 @@ def linked_names(values: DataFrame) -> DataFrame:
     # Of each key only the names of one cell remain; the larger is the hub. Every name meets every larger one that shares its key.
     small = keyed.select("key", F.col("pivot"), F.col("root").alias("a_root"), F.col("rows").alias("a_rows"), F.col("ways").alias("a_ways"), F.col("form").alias("a_form"))
     large = keyed.where("rows > 0").select("key", F.col("pivot"), F.col("root").alias("b_root"), F.col("rows").alias("b_rows"), F.col("ways").alias("b_ways"), F.col("form").alias("b_form"))
-    pairs = small.join(large, ["key", "pivot"]).where(size("b_") > size("a_")).where((F.col("a_ways") < ESTABLISHED) | (F.col("b_ways") < ESTABLISHED)).where("a_form is null or b_form is null or a_form = b_form").drop("key").distinct()
+    pairs = small.join(large, ["key", "pivot"]).where(size("b_") > size("a_")).withColumn("namesakes", (F.col("a_ways") >= ESTABLISHED) & (F.col("b_ways") >= ESTABLISHED)).where(~F.col("namesakes") | (F.col("b_rows") >= SLIPS * F.col("a_rows"))).where("a_form is null or b_form is null or a_form = b_form").drop("key").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -178,7 +180,7 @@ def linked_names(values: DataFrame) -> DataFrame:
         return pd.Series(out, dtype="int32")
 
     reach = F.when(F.least(F.length("a_root"), F.length("b_root")) >= 8, 2).when(F.least(F.length("a_root"), F.length("b_root")) >= 5, 1).otherwise(0)
-    near = pairs.withColumn("d", distance("a_root", "b_root")).where(F.col("d") <= reach)
+    near = pairs.withColumn("d", distance("a_root", "b_root")).where(F.col("d") <= F.when(F.col("namesakes"), F.least(reach, F.lit(1))).otherwise(reach))
     up = near.groupBy("pivot", F.col("a_root").alias("root")).agg(F.min(F.struct(F.col("d"), (-F.col("b_ways")).alias("w"), (-F.col("b_rows")).alias("r"), F.col("b_root"))).alias("best"))
     tops = cut_lineage(
         nodes.join(up, ["pivot", "root"], "left")

@@ -72,3 +72,14 @@ def test_metric():
 def test_actors_keep_their_fetch(spark):
     df = spark.createDataFrame([(1, '{"data":{"doc_trans_actor":"A B"}}', 5), (2, '"{\\"data\\":[{\\"doc_trans_actor\\":\\"C\\"}]}"', 6), (3, None, 7), (4, "{", 8)], "fetch_id bigint, payload string, value int")
     assert sorted((r["fetch_id"], r["value"]) for r in trans_actors(df, ["fetch_id"]).collect()) == [(1, "A B"), (2, "C")]
+
+
+def test_recurring_slips_follow_a_name_with_far_more_rows(spark):
+    """Both names are attested in three ways; only their shares tell a slip from a namesake, at any size."""
+    ways = ["Andreas {}", "{}, Andreas", "Andreas {}, tel 123 4567"]
+    for times in (1, 1000):
+        for rows, same in ((2, True), (900, False)):
+            values = [(w.format("Tarmukivi"), 1000 * times) for w in ways] + [(w.format("Tarmokivi"), rows * times) for w in ways] + [(v, 1) for v in population()]
+            got = {r["value"]: r["entity"] for r in linked_names(spark.createDataFrame(values, "value string, n bigint")).collect()}
+            assert (got["Andreas Tarmukivi"] == got["Andreas Tarmokivi"]) == same
+            assert len({got[w.format("Tarmokivi")] for w in ways}) == 1
