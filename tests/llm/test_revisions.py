@@ -57,14 +57,69 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in rv.revision_pairs(clash).collect()] == [("t", 1, 2)]
 
 
+def templates(n=200, shared=15, own=5, levels=(0, 3, 5, 7)):
+    """Pairs that agree in words half of all texts hold and differ in words of their own."""
+    rnd = random.Random(7)
+    pool, rows, i = [f"tavaline{k}" for k in range(40)], [], 0
+    for k in range(n):
+        base = rnd.sample(pool, shared)
+        same = [f"ühine{k}x{j}" for j in range(levels[k % len(levels)])]
+        for side in "ab":
+            rows.append(("title", i, " ".join(base + same + [f"oma{side}{k}x{j}" for j in range(own)])))
+            i += 1
+    return rows
+
+
+def test_pairs_that_share_frequent_words_only(spark):
+    rows = templates()
+    want = brute(rows)
+    assert sum((f, 2 * k, 2 * k + 1) in want for f in ["title"] for k in range(200)) == 200
+    exact = {tuple(r) for r in rv.revision_pairs(table(spark, rows), exact=True).collect()}
+    assert exact == want
+    got = {tuple(r) for r in rv.revision_pairs(table(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.995 * len(want)
+    assert sum(("title", 2 * k, 2 * k + 1) in got for k in range(0, 200, 4)) >= 49
+
+
+def test_mixed_corpus_with_everything_rare_or_frequent(spark, monkeypatch):
+    rows = corpus() + [(f, 5000 + i, t) for f, i, t in templates(40)]
+    want = brute(rows)
+    for few in (2, 64, 10**6):
+        monkeypatch.setattr(rv, "FEW", few)
+        got = {tuple(r) for r in rv.revision_pairs(table(spark, rows)).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want)
+        assert {tuple(r) for r in rv.revision_pairs(table(spark, rows), exact=True).collect()} == want
+
+
+def test_bags_count_repeats(spark):
+    rows = [("t", 1, "a a a a b c"), ("t", 2, "a b c d"), ("t", 3, "a a a a b d"), ("t", 4, "c a b a a a")]
+    assert {tuple(r)[1:] for r in rv.revision_pairs(table(spark, rows), counted=True).collect()} == {(1, 3), (1, 4), (3, 4)}
+    assert (1, 2) in {tuple(r)[1:] for r in rv.revision_pairs(table(spark, rows)).collect()}
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([("t", w, 100 + w) for w in range(1000)], "field string, w bigint, df bigint")
+    assert len(rv.frequent_words(counts, {"t": 2000})) == 1000
+    assert 0 < len(rv.frequent_words(counts, {"t": 2000}, most=600)) <= 600
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = np.random.default_rng(1)
-    a, b = rnd.integers(-(2**62), 2**62, 60), None
-    b = np.concatenate([a[:40], rnd.integers(-(2**62), 2**62, 20)])
-    level = {int(w): int(k) for w, k in zip(np.concatenate([a, b]), rnd.integers(0, rv.LEVELS + 1, 120))}
-    weight = {w: 2.0**k for w, k in level.items()}
-    x, y = set(map(int, a)), set(map(int, b))
-    true = sum(weight[w] for w in x & y) / sum(weight[w] for w in x | y)
-    n = 4000
-    keys = rv.band_keys([np.sort(a), np.sort(b)], level, bands=n, rows=1)
-    assert abs(float((keys[0] == keys[1]).mean()) - true) < 4 * (true * (1 - true) / n) ** 0.5 + 0.01
+    words = rnd.integers(1, 2**63, 80, dtype=np.uint64)
+    for most in (1, 9):
+        wa, wb = rnd.integers(1, most + 1, 80), rnd.integers(1, most + 1, 80)
+        wa[60:], wb[:20] = 0, 0
+        true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+        n = 4000
+        a, b = rv.signatures([(words[wa > 0], wa[wa > 0]), (words[wb > 0], wb[wb > 0])], n)
+        assert np.isfinite(a).all() and abs(float((a == b).mean()) - true) < 4 * (true * (1 - true) / n) ** 0.5
+    # A signature does not depend on its neighbours in a batch, nor on how far points were drawn.
+    alone = rv.signatures([(words[:3], np.ones(3, dtype=np.int64))], 64)[0]
+    assert (rv.signatures([(words, np.ones(80, dtype=np.int64)), (words[:3], np.ones(3, dtype=np.int64)), (words[:1], np.full(1, 500))], 64)[1] == alone).all()
+
+
+def test_sketches_bound_the_difference():
+    rnd = np.random.default_rng(2)
+    a, b = rnd.integers(-(2**62), 2**62, 90), rnd.integers(-(2**62), 2**62, 30)
+    x, y = rv.sketch(a), rv.sketch(np.concatenate([a[:70], b]))
+    assert sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x, y)) <= 50
