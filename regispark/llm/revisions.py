@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regispark.operators.components import connected_components
-from regispark.session import cut_lineage, parallelism, read_table
+from regispark.session import cut_lineage, read_table
 
 RARE = 2048
 FEW = 64  #: words of fewer sets than this are rare in any collection
@@ -247,17 +247,20 @@ def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, exact: bool = Fals
     a, b = side(postings.where("small").drop("small"), "a"), side(postings.drop("small"), "b")
     met = a.join(b, "w").where(F.expr("a_size < b_size or (a_size = b_size and a_s < b_s)")).where(F.expr(enough.format(o="least(a_size - a_place, b_size - b_place)")) & possible).select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b")).distinct()
     if not exact:
-        dense = cut_lineage(meta.where(F.col("rare") < reach).select("s"))
-        if dense.limit(1).count():
+        if meta.where(F.col("rare") < reach).limit(1).count():
 
             def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
-                    for at in range(0, len(b), 500):
-                        some = b.iloc[at : at + 500]
-                        k = band_keys([(np.asarray(w, dtype=np.int64).view(np.uint64), np.ones(len(w), dtype=np.int64)) for w in some["words"]])
-                        yield pd.DataFrame({"band": k.ravel(), "s": np.repeat(some["s"].to_numpy(), BANDS)})
-
-            bands = sets.select("s", "words").join(dense, "s", "left_semi").repartition(parallelism(sets)).mapInPandas(keys, "band bigint, s bigint").repartition("band")
+                    for s, words, _, row, n_sets in flat(b):
+                        rare = np.bincount(row[n_sets == 0], minlength=len(s))
+                        # Only sets whose prefix reaches into the frequent words.
+                        dense = [i for i, w in enumerate(words) if rare[i] < len(w) - -(-len(w) * num // den) + 1]
+                        for at in range(0, len(dense), 500):
+                            some = dense[at : at + 500]
+                            k = band_keys([(words[i].view(np.uint64), np.ones(len(words[i]), dtype=np.int64)) for i in some])
+                            yield pd.DataFrame({"band": k.ravel(), "s": np.repeat(s[some], BANDS)})
+
+            bands = of.mapInPandas(keys, "band bigint, s bigint").repartition("band")
             hit = bands.select("band", F.col("s").alias("a")).join(bands.select("band", F.col("s").alias("b")), "band").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= AGREE).select("a", "b")
             left, right = side(meta.drop("rare"), "a"), side(meta.drop("rare"), "b")
             near = hit.join(left.withColumnRenamed("a_s", "a"), "a").join(right.withColumnRenamed("b_s", "b"), "b")
