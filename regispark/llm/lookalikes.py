@@ -1,24 +1,29 @@
 """Visually identical text with different characters (problem 10): script-aware repair.
 
-`unify` brings every text to one form in four steps: invisible characters go, every blank becomes a space,
-wide forms and ligatures become ordinary letters, accents are composed; then each token that mixes scripts
-gets its dominant script (the one that has letters without a look-alike in the others, else the one with
-more letters), and its foreign letters are replaced by look-alikes, only if the result occurs in the corpus
-vocabulary, that is as a token of one script in any text. Nothing else changes: superscripts, lost accents,
-line breaks and letter case stay as they are.
-
-`look_key` is the exact check behind it: a text's skeleton, in which every look-alike letter has one
-representative. Texts look the same if and only if their keys are equal, also where a repair found no
-vocabulary word.
-
-Defined results for odd input: a null text stays null and has no key, an empty text stays empty; a text of
+`unify` brings every text to one form, so that texts which look the same become equal:
+
+1. invisible characters go, every blank becomes a space, wide forms, ligatures and mathematical letters become
+   ordinary ones, accents are composed;
+2. each token gets its dominant script: that of its letters without a look-alike in another script, or, where it
+   has none, the dominant script of the text's such letters (Latin in doubt). These letters are the same in all texts that
+   look alike, so the scripts are too;
+3. look-alike letters of a token that mixes scripts, or stands in the wrong one, are replaced by those of its
+   script, if the result is in the corpus vocabulary, that is occurs as a token in any text. Where it does not, and
+   the token is written in several ways, all take the Latin form if that occurs, else the most frequent one.
+
+Nothing else changes: superscripts, lost accents, line breaks and letter case stay as they are. Two texts look the
+same if and only if their forms are equal; `look_key` is the hash of the form.
+
+Most texts hold ordinary characters of one script only, are their own form and are never sent to Python for it. Data
+sent to all executors: the tokens sought in the vocabulary, if they are at most `MOST_SOUGHT`; more are joined.
+
+Defined results for odd input: a null text stays null and has no key, an empty text stays empty and has none; a text of
 invisible characters only becomes empty; ties between scripts go to Latin; repeated rows are kept; other
 columns, whatever their names, pass through unchanged; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -35,21 +40,22 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
 BLANK = "\t   -   　"
 HYPHEN = "‐‑"
 WIDE = "！-￮ﬀ-ﬆ"
-CYRILLIC_LIKE = dict(zip("асеорухіјѕԁһԛԝАВЕКМНОРСТХІЈЅУ", "aceopyxijsdhqwABEKMHOPCTXIJSY"))
-GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
+CYRILLIC_LIKE = dict(zip("\u0430\u0441\u0435\u043e\u0440\u0443\u0445\u0456\u0458\u0455\u0501\u04bb\u051b\u051d\u04cf\u0475\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u0406\u0408\u0405\u0423\u050c\u051a\u051c\u0474", "aceopyxijsdhqwlvABEKMHOPCTXIJSYGQWV"))
+GREEK_LIKE = dict(zip("\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7\u03bf\u03bd\u037f\u03f3", "ABEZHIKMNOPTYXovJj"))
+# Letters of scripts without texts here: Armenian, Cherokee, Lisu, letter variants.
+OTHER_LIKE = dict(zip("\u0585\u13aa\u13f4\u13df\u13ac\u13c0\u13bb\u13ab\u13e6\u13de\u13b7\u13e2\u13a1\u13da\u13a2\u13d9\u13b3\u13c3\ua4ee\ua4d0\ua4da\ua4d3\ua4f0\ua4dd\ua4d6\ua4e7\ua4f2\ua4d9\ua4d7\ua4e1\ua4df\ua4e0\ua4f3\ua4d1\ua4e3\ua4e2\ua4d4\ua4f4\ua4e6\ua4ea\ua4eb\ua4ec\ua4dc\u0261", "oABCEGHJKLMPRSTVWZABCDEFGHIJKLMNOPRSTUVWXYZg"))
 
-_INVISIBLE, _BLANK, _WIDE = (re.compile(f"[{x}]") for x in (INVISIBLE, BLANK, WIDE))
+_INVISIBLE, _BLANK, _WIDE = (re.compile(f"[{x}]") for x in (INVISIBLE, BLANK, WIDE + "\u2160-\u217f\U0001d400-\U0001d7ff"))
 _HYPHEN = re.compile(f"[{HYPHEN}]")
-_ODD = re.compile(f"[{INVISIBLE}{BLANK}{HYPHEN}{WIDE}̀-ͯ]")
-_FOREIGN = re.compile("[Ͱ-ԯ]")
+_ODD = re.compile(f"[{INVISIBLE}{BLANK}{HYPHEN}{WIDE}\u2160-\u217f\U0001d400-\U0001d7ff\u0300-\u036f]")
+_TO_LATIN = {ord(k): v for k, v in (CYRILLIC_LIKE | GREEK_LIKE | OTHER_LIKE).items()}
+_FOREIGN = re.compile("[" + "".join(map(chr, _TO_LATIN)) + "\u0370-\u052f]")
 _TOKEN = re.compile(r"[^\W_]+")
-_TO_LATIN = {ord(k): v for k, v in (CYRILLIC_LIKE | GREEK_LIKE).items()}
-_TO_CYRILLIC = {ord(v): k for k, v in CYRILLIC_LIKE.items()} | {ord(g): next(c for c, v in CYRILLIC_LIKE.items() if v == x) for g, x in GREEK_LIKE.items() if x in CYRILLIC_LIKE.values()}
-_TO_GREEK = {ord(v): k for k, v in GREEK_LIKE.items()} | {ord(c): next(g for g, v in GREEK_LIKE.items() if v == x) for c, x in CYRILLIC_LIKE.items() if x in GREEK_LIKE.values()}
-#: JVM form of the test for a token that may mix scripts: letters of two scripts side by side.
-_LATIN_RANGE, _FOREIGN_RANGE = r"A-Za-z\x{00C0}-\x{024F}\x{FF21}-\x{FF5A}", r"\x{0370}-\x{052F}"
-_GAP = r"[\x{00AD}\x{0300}-\x{036F}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}0-9]*"
-MIXED_JVM = rf"[{_LATIN_RANGE}]{_GAP}[{_FOREIGN_RANGE}]|[{_FOREIGN_RANGE}]{_GAP}[{_LATIN_RANGE}]|[\x{{0370}}-\x{{03FF}}]{_GAP}[\x{{0400}}-\x{{052F}}]|[\x{{0400}}-\x{{052F}}]{_GAP}[\x{{0370}}-\x{{03FF}}]"
+_FROM_LATIN = {"latin": {}, "cyrillic": {ord(v): k for k, v in CYRILLIC_LIKE.items()}, "greek": {ord(v): k for k, v in GREEK_LIKE.items()}}
+_SHARED = set("".join(CYRILLIC_LIKE.values()) + "".join(GREEK_LIKE.values()) + "".join(OTHER_LIKE.values()))
+#: Texts of these characters alone are their own form: ordinary Latin letters, digits, signs, spaces and line breaks.
+TAME_JVM = r"^[\n\r -~\x{00A1}-\x{00AC}\x{00AE}-\x{0250}\x{2012}-\x{2027}\x{20AC}\x{2116}]*+$"
+MOST_SOUGHT = 1_000_000
 
 
 def plain(text: str) -> str:
@@ -61,130 +67,141 @@ def plain(text: str) -> str:
 
 
 def skeleton(text: str) -> str:
-    """What a reader sees: `plain`, with one representative for look-alike letters."""
+    """What a reader sees: `plain`, with the Latin letter for all its look-alikes."""
     text = plain(text)
     if not _FOREIGN.search(text):
         return text
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TO_LATIN))
 
 
-def look_key(text: str | None) -> str | None:
-    return None if not text else hashlib.blake2b(skeleton(text).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-
-
 def _script(ch: str) -> str:
     o = ord(ch)
-    if o < 0x370:
-        return "latin" if ch.isalpha() else ""
-    return "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "latin" if 0x1E00 <= o < 0x1F00 else ""
-
-
-def _scripts(token: str) -> dict[str, list[str]]:
-    found: dict[str, list[str]] = {}
-    for ch in token:
-        if s := _script(ch):
-            found.setdefault(s, []).append(ch)
-    return found
-
-
-_MAPS = {"latin": _TO_LATIN, "cyrillic": _TO_CYRILLIC, "greek": _TO_GREEK}
-
-
-def repairs(token: str) -> list[str]:
-    """Forms of a mixed-script token in one script, the dominant script's first."""
-    found = _scripts(token)
-    if len(found) < 2:
-        return []
-    own = {s: sum(ord(unicodedata.normalize("NFD", c)[0]) not in m for c in found[s] for m in [next(v for k, v in _MAPS.items() if k != s)]) for s in found}
-    order = sorted(found, key=lambda s: (-own[s], -len(found[s]), ("latin", "cyrillic", "greek").index(s)))
-    out = []
-    for s in order:
-        form = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_MAPS[s]))
-        if len(_scripts(form)) == 1 and form not in out:
-            out.append(form)
-    return out
+    return "" if not ch.isalpha() else "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else ""
+
+
+_DISTINCT = {s: re.compile(f"[{x}]") for s, x in {"cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff"}.items()}
+_LATIN_DISTINCT = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in _SHARED) + "]")
+
+
+def dominant(skel: str, doubt: str = "latin") -> str:
+    """The script of most letters of a skeleton that no other script has; `doubt` if it has none."""
+    n = {"latin": len(_LATIN_DISTINCT.findall(skel)), "cyrillic": len(_DISTINCT["cyrillic"].findall(skel)), "greek": len(_DISTINCT["greek"].findall(skel))}
+    best = max(n, key=lambda s: n[s])
+    return best if n[best] else doubt
 
 
-def _words(text: str) -> tuple[set[str], set[str]]:
-    """(tokens of one script, tokens of several) of a text in plain form."""
-    tokens = set(_TOKEN.findall(text))
+def form_of(token_skeleton: str, doubt: str = "latin") -> str:
+    """A token in its dominant script."""
+    letters = _FROM_LATIN[dominant(token_skeleton, doubt)]
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token_skeleton).translate(letters)) if letters else token_skeleton
+
+
+def tokens_to_place(text: str) -> dict[str, tuple[str, str]]:
+    """token -> (skeleton, form in its script) of those tokens of a text in plain form that could be written otherwise."""
     if not _FOREIGN.search(text):
-        return tokens, set()
-    mixed = {t for t in tokens if not t.isascii() and _FOREIGN.search(t) and len(_scripts(t)) > 1}
-    return tokens - mixed, mixed
+        return {}
+    doubt = dominant(skeleton(text))
+    out = {}
+    for token in set(_TOKEN.findall(text)):
+        if doubt != "latin" or _FOREIGN.search(token):
+            skel = skeleton(token)
+            form = form_of(skel, doubt)
+            if form != token or skel != token:
+                out[token] = (skel, form)
+    return out
+
+
+def _odd(text):
+    return F.coalesce(~text.rlike(TAME_JVM), F.lit(False))
 
 
-def accepted_repairs(df: DataFrame, text_col: str) -> DataFrame:
-    """(token, repair) for each mixed-script token whose repair is a word of the corpus; the first form that is one."""
+def placed_tokens(df: DataFrame, text_col: str) -> DataFrame:
+    """(token, form, written): how each token is to be written that is not written so already."""
+    text = F.col(f"`{text_col}`").cast("string")
+    source = df.select(text.alias("text")).where("text is not null and text <> ''")
 
-    def tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: set[str] = set()
-        mixed: set[str] = set()
+    def seen(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n: dict[tuple[str, str, str], int] = {}
+            for t in batch["text"]:
+                for token, (skel, form) in tokens_to_place(plain(t)).items():
+                    n[token, skel, form] = n.get((token, skel, form), 0) + 1
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["token", "skel", "form", "n"])
+
+    rows = cut_lineage(source.where(_odd(F.col("text"))).mapInPandas(seen, "token string, skel string, form string, n bigint").groupBy("token", "skel", "form").agg(F.sum("n").alias("n")))
+    # Only what is not in its form, or shares its look with something that is not, has to be looked up.
+    open_looks = rows.where("token <> form").select("skel").distinct()
+    rows = rows.join(open_looks, "skel", "left_semi")
+    sought = cut_lineage(rows.select(F.explode(F.array("skel", "form")).alias("word")).distinct())
+    known = None
+    if sought.count() <= MOST_SOUGHT:
+        known = df.sparkSession.sparkContext.broadcast({r["word"] for r in sought.collect()})
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: set[str] = set()
         for batch in batches:
-            for text in batch["text"]:
-                a, b = _words(plain(text))
-                words |= a
-                mixed |= b
-            if len(words) > 200_000:
-                yield pd.DataFrame({"word": pd.Series(list(words), dtype=object), "token": pd.Series([None] * len(words), dtype=object), "place": 0})
-                words = set()
-        yield pd.DataFrame({"word": pd.Series(list(words), dtype=object), "token": pd.Series([None] * len(words), dtype=object), "place": 0})
-        yield pd.DataFrame([(r, t, k) for t in mixed for k, r in enumerate(repairs(t))], columns=["word", "token", "place"], dtype=object)
-
-    rows = df.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").mapInPandas(tokens, "word string, token string, place int")
-    # One pass over the words, grouped by word: forms sought (bounded by the token's scripts) and whether the word occurs.
-    known = (
-        rows.groupBy("word", "token", "place").count()
-        .groupBy("word").agg(F.max(F.col("token").isNull()).alias("occurs"), F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "place"))).alias("for"))
-        .where("occurs and size(for) > 0")
-        .select("word", F.explode("for").alias("f"))
+            for t in batch["text"]:
+                own = set(_TOKEN.findall(plain(t)))
+                found |= own if known is None else own & known.value
+            if len(found) > 200_000:
+                yield pd.DataFrame({"word": list(found)}, dtype=object)
+                found = set()
+        yield pd.DataFrame({"word": list(found)}, dtype=object)
+
+    if known is not None and not known.value:
+        return df.sparkSession.createDataFrame([], "token string, form string, written string")
+    occurs = source.mapInPandas(words, "word string").distinct().join(sought, "word", "left_semi")
+    most = rows.groupBy("skel").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("most")).select("skel", F.col("most.token").alias("most"))
+    written = (
+        rows.join(occurs.select(F.col("word").alias("form"), F.lit(True).alias("form_occurs")), "form", "left")
+        .join(occurs.select(F.col("word").alias("skel"), F.lit(True).alias("skel_occurs")), "skel", "left").join(most, "skel")
+        .select("token", "form", F.when(F.col("form_occurs"), F.col("form")).when(F.col("skel_occurs"), F.col("skel")).otherwise(F.col("most")).alias("written"))
     )
-    return known.groupBy(F.col("f.token").alias("token")).agg(F.min_by("word", F.col("f.place")).alias("repair"))
+    return written.where("written <> token").distinct()
 
 
 def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_col: str = "look_key") -> DataFrame:
-    """`df` with the text's consistent form and its key; with out_col None the key alone, so that no text returns from Python.
+    """`df` with the text's consistent form and its key; with out_col None the key alone.
 
-    Only rows with letters of two scripts side by side are joined with the accepted repairs; the others are
-    one narrow pass. The join is on a hash of the text, so exact copies are repaired once and no text travels
-    with more than its own tokens.
+    Only texts with characters beyond ordinary Latin ones go through Python. Of these, only the ones with a token to be
+    written otherwise are joined with `placed_tokens`, by a hash of the text, so that exact copies are repaired once and
+    no text travels with more than its own tokens.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    # Most texts hold no letter of a second script, which one character class tells; only the rest are searched for pairs.
-    mixed = F.coalesce(text.rlike(rf"[{_FOREIGN_RANGE}]") & text.rlike(MIXED_JVM), F.lit(False))
-    fixes = cut_lineage(accepted_repairs(df, text_col))
-    schema = T.StructType([T.StructField("n", T.StringType()), T.StructField("k", T.StringType())])
-
-    @F.pandas_udf(schema)
-    def form(texts: pd.Series) -> pd.DataFrame:
-        norm = [None if t is None else plain(t) for t in texts]
-        return pd.DataFrame({"n": pd.Series(norm if out_col else [None] * len(norm), dtype=object), "k": pd.Series([look_key(t) for t in norm], dtype=object)})
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def mixed_tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(_words(plain(t))[1]) for t in texts], dtype=object)
-
-    @F.pandas_udf(schema)
-    def fixed(texts: pd.Series, tokens: pd.Series, forms: pd.Series) -> pd.DataFrame:
+    place = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("form", T.StringType())]))
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else plain(t) for t in texts], dtype=object)
+
+    @F.pandas_udf(place)
+    def to_place(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"token": a, "form": f} for a, (_, f) in sorted(tokens_to_place(plain(t)).items())] for t in texts], dtype=object)
+
+    @F.pandas_udf("string")
+    def fixed(texts: pd.Series, tokens: pd.Series, forms: pd.Series) -> pd.Series:
         norm = []
         for t, a, b in zip(texts, tokens, forms):
             by = {} if a is None else dict(zip(a, b))
-            t = plain(t)
-            norm.append(_TOKEN.sub(lambda m, by=by: by.get(m[0], m[0]), t) if by else t)
-        return pd.DataFrame({"n": pd.Series(norm if out_col else [None] * len(norm), dtype=object), "k": pd.Series([look_key(t) for t in norm], dtype=object)})
+            norm.append(_TOKEN.sub(lambda m, by=by: by.get(m[0], m[0]), plain(t)) if by else plain(t))
+        return pd.Series(norm, dtype=object)
 
+    odd = _odd(text)
+    foreign = odd & F.coalesce(text.rlike("[" + "".join(map(chr, _TO_LATIN)) + "\u0370-\u052f\uff00-\uffef\U0001d400-\U0001d7ff]"), F.lit(False))
     h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
-    plain_rows = df.where(~mixed).withColumn("__f", form(text))
-    texts = df.where(mixed).select(text.alias("t")).withColumn("h", F.struct(F.xxhash64("t"), F.length("t"), F.crc32(F.encode("t", "UTF-8")))).dropDuplicates(["h"])
+    texts = df.where(foreign).select(text.alias("t")).withColumn("h", F.struct(F.xxhash64("t"), F.length("t"), F.crc32(F.encode("t", "UTF-8")))).dropDuplicates(["h"])
     by_text = (
-        texts.select("h", F.explode(mixed_tokens("t")).alias("token"))
-        .join(fixes, "token")
-        .groupBy("h").agg(F.collect_list("token").alias("__a"), F.collect_list("repair").alias("__b"))
+        texts.select("h", F.explode(to_place("t")).alias("p")).select("h", "p.token", "p.form")
+        .join(cut_lineage(placed_tokens(df, text_col)), ["token", "form"])
+        .groupBy("h").agg(F.collect_list("token").alias("__a"), F.collect_list("written").alias("__b"))
         .withColumnRenamed("h", "__h")
     )
-    mixed_rows = df.where(mixed).withColumn("__h", h).join(by_text, "__h", "left").withColumn("__f", fixed(text, F.col("__a"), F.col("__b")))
-    both = plain_rows.select(*[F.col(f"`{c}`") for c in df.columns], "__f").unionByName(mixed_rows.select(*[F.col(f"`{c}`") for c in df.columns], "__f"))
-    return both.select(*[F.col(f"`{c}`") for c in df.columns], *([F.col("__f.n").alias(out_col)] if out_col else []), F.col("__f.k").alias(key_col))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    tame = df.where(~odd).withColumn("__n", text)
+    odd_rows = df.where(odd & ~foreign).withColumn("__n", form(text))
+    foreign_rows = df.where(foreign).withColumn("__h", h).join(by_text, "__h", "left").withColumn("__n", fixed(text, F.col("__a"), F.col("__b")))
+    every = tame.select(*own, "__n").unionByName(odd_rows.select(*own, "__n")).unionByName(foreign_rows.select(*own, "__n"))
+    return every.select(*own, *([F.col("__n").alias(out_col)] if out_col else []), F.when(text != "", F.md5(F.encode("__n", "UTF-8"))).alias(key_col))
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -6,12 +6,14 @@ Two passes decide about each line of a body.
    embedded messages of the thread; a heading of mail-program style reaches to the end of the body, an
    attribution reaches over the lines marked with ">"; sign-offs, signatures, disclaimers and device notes end
    what the sender wrote, postscripts resume it.
-2. Threads, between messages: a message descends from the one that wrote a line it quotes, by ">" or below a heading.
-   Exact copies of a body count as one message, and of several writers of a line the one with the smallest id stands
+2. Threads, between messages: a message descends from the one that wrote a line it quotes, by ">" or below a heading
+   (the store holds bodies without message ids, so that these references stand for the headers). Exact copies of a body
+   count as one message, and of several writers of a line the one with the smallest id stands
    for all, so the joins are on (message, hash) with one side unique and a line that very many messages share pairs
-   each of them with one. Ancestors are followed up. A message's new lines are then compared with those of each
-   ancestor: equal long lines, and lines whose words all lie in runs of `SHINGLE` words that the ancestor has too,
-   however its lines were broken, are inherited without any mark and removed.
+   each of them with one. Ancestors are followed up. A message's new lines are then aligned with those of each
+   ancestor: shingles of `SHINGLE` words, found by a rolling hash, are the seeds, seeds grow to the longest equal runs
+   of words, and the heaviest chain of runs in one order is the alignment. A line of which `INHERITED` of the words
+   are in it, however the lines were broken, is inherited without any mark and removed.
 
 Defined results for odd input: a null or empty body gives no lines; blank lines are never new; lines are counted
 from 1 after splitting at "\\n"; a body without any structure is new as a whole; repeated rows give equal lines;
@@ -22,6 +24,7 @@ two named are not looked at; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -70,17 +73,38 @@ def _quoted(line: str) -> bool:
     return line.lstrip().startswith(">")
 
 
-def _is_signature(lines: list[str], at: int, end: int) -> bool:
-    """Whether lines at..end (no blank between) are a signature without sign-off: a name, then a post, body or contacts."""
-    block = [x for x in lines[at:end] if x.strip()]
-    if not block or _GREETING.match(block[0]) or _SENTENCE_END.search(block[0]) and not re.search(r"\b\w\.\s*$", block[0]):
-        return False
-    if not _NAME.match(block[0]) and not (_LOWER_NAME.match(block[0]) and len(block) > 1 and not any(_SENTENCE_END.search(x) for x in block)):
-        return False
-    return len(block) <= 8 and not any(_SENTENCE_END.search(x) and len(x.split()) > 6 for x in block[1:])
+class _Lines:
+    """The lines of a body up to its embedded message, and what can be said about each in one pass."""
+
+    def __init__(self, lines: list[str], end: int) -> None:
+        self.lines, self.end = lines, end
+        self.quote = [_quoted(x) for x in lines[:end]]
+        self.attribution = [bool(_ATTRIBUTION.match(x)) for x in lines[:end]]
+        self.note = [bool(_DEVICE.match(x.strip()) or _DISCLAIMER.search(x)) for x in lines[:end]]
+        # Where the block of a line ends, where the next whole sentence stands, and whether only quotes and notes follow.
+        self.block, self.sentence, self.over = [end] * (end + 1), [end] * (end + 1), [True] * (end + 1)
+        for i in range(end - 1, -1, -1):
+            line = lines[i]
+            blank = not line.strip()
+            self.block[i] = i if blank or self.quote[i] or self.attribution[i] or self.note[i] else self.block[i + 1]
+            self.sentence[i] = i if _SENTENCE_END.search(line) and len(line.split()) > 6 else self.sentence[i + 1]
+            self.over[i] = self.over[i + 1] and (blank or self.quote[i] or self.attribution[i] or self.note[i] or bool(_POSTSCRIPT.match(line)))
+
+    def signature_at(self, at: int) -> bool:
+        """Whether the block that begins at a line is a signature without sign-off, after which nothing is written: a
+        name, then a post, body or contacts, but no sentence."""
+        stop = self.block[at]
+        first = self.lines[at]
+        if stop == at or not self.over[stop] or _GREETING.match(first) or (_SENTENCE_END.search(first) and not re.search(r"\b\w\.\s*$", first)):
+            return False
+        if not _NAME.match(first) and not (_LOWER_NAME.match(first) and stop > at + 1 and not any(_SENTENCE_END.search(x) for x in self.lines[at:stop])):
+            return False
+        return self.sentence[at + 1] >= stop
 
 
-SHINGLE = 8  #: words in a row
+SHINGLE = 5  #: words in a row
+INHERITED = 0.8
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
 
 def heading_at(lines: list[str]) -> int:
@@ -102,73 +126,116 @@ def new_lines(body: str) -> list[int]:
     """Numbers of the lines that are newly written, by the structure of the body."""
     lines = [x.rstrip("\r") for x in body.split("\n")]
     end = heading_at(lines)
-    out, signed, i = [], False, 0
-    while i < end:
+    known = _Lines(lines, end)
+    out, signed = [], False
+    for i in range(end):
         line = lines[i]
         if not line.strip():
-            i += 1
             continue
-        if _quoted(line) or _ATTRIBUTION.match(line):
+        if known.quote[i] or known.attribution[i]:
             # Text below the quoted part is a new part of the letter.
-            signed = signed and not _ATTRIBUTION.match(line)
-            if _ATTRIBUTION.match(line) and i + 1 < end and not any(_quoted(x) for x in lines[i + 1 : i + 4]):
+            signed = signed and not known.attribution[i]
+            if known.attribution[i] and i + 1 < end and not any(known.quote[i + 1 : i + 4]):
                 break
-            i += 1
             continue
-        if _DEVICE.match(line.strip()) or _DISCLAIMER.search(line):
-            i += 1
+        if known.note[i]:
             continue
         if _POSTSCRIPT.match(line):
             signed = False
         if not signed and (_SIGN_OFF.match(line) or _DASHES.match(line)):
             signed = True
-            i += 1
             continue
-        stop = i
-        # A signature has at most eight lines, so no more are looked at.
-        while stop < min(end, i + 10) and lines[stop].strip() and not _quoted(lines[stop]) and not any(p.search(lines[stop]) for p in (_ATTRIBUTION, _DEVICE, _DISCLAIMER)):
-            stop += 1
-        if not signed and _is_signature(lines, i, stop) and _ends_letter(lines, stop, end):
+        if not signed and known.signature_at(i):
             signed = True
         if not signed:
             out.append(i + 1)
-        i += 1
     return out
 
 
-def _ends_letter(lines: list[str], at: int, end: int) -> bool:
-    """Whether only quotes, notes, disclaimers and postscripts follow."""
-    for line in lines[at:end]:
-        if line.strip() and not (_quoted(line) or _ATTRIBUTION.match(line) or _DEVICE.match(line.strip()) or _DISCLAIMER.search(line) or _POSTSCRIPT.match(line)):
-            return False
-    return True
+def _words(text: str) -> list[str]:
+    return re.sub(r"^[>\s]+", "", text).lower().split()
 
 
-def shingle_hash(line: str) -> int:
-    """Hash of a line's text without quote marks, blanks and case: the shingle of the line, 0 for short ones."""
-    text = "".join(re.sub(r"^[>\s]+", "", line).lower().split())
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if len(text) >= 30 else 0
+def line_hash(line: str) -> int:
+    """Hash of a line's words without quote marks and case, 0 for lines shorter than a shingle, which say too little."""
+    words = _words(line)
+    return int.from_bytes(blake2b("".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if len(words) >= SHINGLE else 0
 
 
-def _words(text: str) -> list[str]:
-    return re.sub(r"^[>\s]+", "", text).lower().split()
+def shingles(words: list[str]) -> list[int]:
+    """Rolling hash of every run of SHINGLE words."""
+    codes = [int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big") for w in words]
+    first, now, out = pow(_BASE, SHINGLE - 1, _PRIME), 0, []
+    for i, c in enumerate(codes):
+        if i >= SHINGLE:
+            now -= codes[i - SHINGLE] * first
+        now = (now * _BASE + c) % _PRIME
+        if i >= SHINGLE - 1:
+            out.append(now)
+    return out
+
+
+def aligned_runs(mine: list[str], theirs: list[str]) -> list[tuple[int, int, int]]:
+    """(place in mine, place in theirs, words) of the heaviest chain of equal runs that keeps the order of both.
+
+    Of a shingle that the ancestor has several times the next place after the run before counts, so that a repeated
+    phrase makes one seed a place, not all pairs of places.
+    """
+    where: dict[int, list[int]] = {}
+    for j, h in enumerate(shingles(theirs)):
+        where.setdefault(h, []).append(j)
+    runs: list[tuple[int, int, int]] = []
+    i, hashes, last = 0, shingles(mine), 0
+    while i < len(hashes):
+        places = where.get(hashes[i])
+        if not places:
+            i += 1
+            continue
+        k = bisect_left(places, last)
+        j = places[k] if k < len(places) else places[0]
+        n = 0
+        while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
+            n += 1
+        if n < SHINGLE:  # the hashes met by chance
+            i += 1
+            continue
+        runs.append((i, j, n))
+        last = j + n
+        i += n - SHINGLE + 1 if n > SHINGLE else 1
+    # The runs are in order of `mine`; the heaviest increasing chain in `theirs` by a running maximum over sorted ends.
+    ends: list[int] = []
+    best: list[tuple[int, int]] = []  # weight and run of the heaviest chain that ends at or before the end
+    before: list[int] = [-1] * len(runs)
+    for r, (_, j, n) in enumerate(runs):
+        at = bisect_right(ends, j)
+        weight, before[r] = (best[at - 1][0] + n, best[at - 1][1]) if at else (n, -1)
+        at = bisect_right(ends, j + n)
+        if at and best[at - 1][0] >= weight:
+            continue
+        ends.insert(at, j + n)
+        best.insert(at, (weight, r))
+        while at + 1 < len(best) and best[at + 1][0] <= weight:
+            del ends[at + 1], best[at + 1]
+    chain, r = [], best[-1][1] if best else -1
+    while r >= 0:
+        chain.append(runs[r])
+        r = before[r]
+    return chain[::-1]
 
 
 def inherited_lines(own: list[tuple[int, str]], ancestor: list[str]) -> list[int]:
-    """Numbers of those lines of `own` that are, however broken, text of the ancestor's lines: equal long ones and ones inside shared runs of words."""
-    theirs = [w for line in ancestor for w in _words(line)]
-    runs = {hash(tuple(theirs[i : i + SHINGLE])) for i in range(len(theirs) - SHINGLE + 1)}
-    whole = {h for line in ancestor if (h := shingle_hash(line))}
+    """Numbers of those lines of `own` that are, however broken, text of the ancestor's lines."""
     words = [(k, w) for k, line in own for w in _words(line)]
+    n: dict[int, int] = {}
+    for k, _ in words:
+        n[k] = n.get(k, 0) + 1
     held = [False] * len(words)
-    upto = 0
-    for i in range(len(words) - SHINGLE + 1):
-        if hash(tuple(w for _, w in words[i : i + SHINGLE])) in runs:
-            for j in range(max(i, upto), i + SHINGLE):
-                held[j] = True
-            upto = i + SHINGLE
-    rest = {k for (k, _), h in zip(words, held) if not h}
-    return [k for k, line in own if (_words(line) and k not in rest) or shingle_hash(line) in whole]
+    for i, _, size in aligned_runs([w for _, w in words], [w for line in ancestor for w in _words(line)]):
+        held[i : i + size] = [True] * size
+    found: dict[int, int] = {}
+    for (k, _), h in zip(words, held):
+        found[k] = found.get(k, 0) + h
+    return [k for k, _ in own if n.get(k) and found[k] >= INHERITED * n[k]]
 
 
 def new_text_lines(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
@@ -183,8 +250,8 @@ def new_text_lines(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
                 copy = int.from_bytes(blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
                 for k, line in enumerate(split, 1):
                     if k in own:
-                        rows.append((key, k, shingle_hash(line), True, copy))
-                    elif (_quoted(line) or k > below) and (h := shingle_hash(line)) and not _DISCLAIMER.search(line):
+                        rows.append((key, k, line_hash(line), True, copy))
+                    elif (_quoted(line) or k > below) and (h := line_hash(line)) and not _DISCLAIMER.search(line):
                         rows.append((key, k, h, False, copy))
             yield pd.DataFrame(rows, columns=["id", "line_no", "h", "own", "copy"])
 
@@ -223,8 +290,21 @@ def _mails(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "files").where("parsed_with = 'MsgParser' and contents is not null").select("id", "contents")
 
 
+def reduced(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
+    """(id, new_text) of every body that is not null: its newly written lines, in order; empty where there are none."""
+    bodies = df.select(F.col(id_col).alias("id"), F.col(body_col).cast("string").alias("body")).where("body is not null")
+    lines = new_text_lines(bodies, "id", "body").groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("at"))
+    text = F.array_join(F.transform("at", lambda i: F.regexp_replace(F.element_at(F.split("body", "\n", -1), i), "\r$", "")), "\n")
+    return bodies.join(lines, bodies["id"].eqNullSafe(lines["id"]), "left").select(bodies["id"], F.coalesce(text, F.lit("")).alias("new_text"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return new_text_lines(_mails(spark, folder), "id", "contents").select(F.col("id").alias("file_id"), "line_no").distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_reduced(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mail reduced to what its sender newly wrote."""
+    return reduced(_mails(spark, folder), "id", "contents").withColumnRenamed("id", "file_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_reduced": p5_reduced}

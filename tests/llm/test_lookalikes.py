@@ -31,7 +31,34 @@ def test_empty_and_long(spark):
 
 
 def test_dominant_script():
-    assert la.repairs("kоhus")[0] == "kohus" and la.repairs("прoверка") == ["проверка"] and la.repairs("plain") == []
+    form = lambda t, doubt="latin": la.form_of(la.skeleton(t), doubt)
+    assert form("kоhus") == "kohus" and form("прoверка") == "проверка" and form("plain") == "plain"
+    assert form("сор") == "cop" and form("cop", "cyrillic") == "сор"
+    assert la.dominant(la.skeleton("Еще одна проверка")) == "cyrillic" and la.dominant(la.skeleton("Еще cop")) == "cyrillic" and la.dominant(la.skeleton("cop сор")) == "latin"
+
+
+def test_one_form_for_each_look(spark):
+    """Tokens of one script in the wrong place, repairs outside the vocabulary, three scripts: one form for each look."""
+    looks = [
+        ["СОРТ nr 5 jah", "COPT nr 5 jah", "CОPT nr 5 jah"], ["tuntmаtu siin", "tuntmatu siin", "tuntmаtu siin\u200b"], ["rnaоs x", "rnаos x", "rnаоs x"],
+        ["а и б сидели", "a и б сидели"], ["Ꭺpᴏx\u00a0k", "Apᴏx k"], ["𝐓𝐞𝐫𝐞 maailm", "Tere maailm"], ["ΑΒΕ", "ABE", "АВЕ"], ["ⅣX b", "IVX b"], ["сор", "cop"],
+    ]
+    rows = [(10 * k + i, t) for k, g in enumerate(looks) for i, t in enumerate(g)]
+    out = {r["doc_id"]: (r["text_norm"], r["look_key"]) for r in la.unify(spark.createDataFrame(rows, "doc_id bigint, text string"), "text").collect()}
+    for k, g in enumerate(looks):
+        assert len({out[10 * k + i] for i in range(len(g))}) == 1, g
+    assert len({n for n, _ in out.values()}) == len(looks)
+    got = {tuple(r) for r in la.same_look_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {(10 * k + a, 10 * k + b) for k, g in enumerate(looks) for a in range(len(g)) for b in range(a + 1, len(g))}
+    assert out[30][0] == "а и б сидели" and out[0][0] == "COPT nr 5 jah"
+
+
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    rows = [(1, "kоhus tegi otsuse"), (2, "kohus"), (3, "tuntmаtu")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    want = sorted(map(tuple, la.unify(df, "text").collect()))
+    monkeypatch.setattr(la, "MOST_SOUGHT", 0)
+    assert sorted(map(tuple, la.unify(df, "text").collect())) == want
 
 
 @settings(max_examples=100, deadline=None)
