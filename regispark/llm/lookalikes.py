@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,13 @@ _HYPHEN = re.compile(f"[{HYPHEN}]")
 _ODD = re.compile(f"[{INVISIBLE}{BLANK}{HYPHEN}{WIDE}\u2160-\u217f\U0001d400-\U0001d7ff\u0300-\u036f]")
 _TO_LATIN = {ord(k): v for k, v in (CYRILLIC_LIKE | GREEK_LIKE | OTHER_LIKE).items()}
 _FOREIGN = re.compile("[" + "".join(map(chr, _TO_LATIN)) + "\u0370-\u052f]")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 _FROM_LATIN = {"latin": {}, "cyrillic": {ord(v): k for k, v in CYRILLIC_LIKE.items()}, "greek": {ord(v): k for k, v in GREEK_LIKE.items()}}
 _SHARED = set("".join(CYRILLIC_LIKE.values()) + "".join(GREEK_LIKE.values()) + "".join(OTHER_LIKE.values()))
 #: Texts of these characters alone are their own form: ordinary Latin letters, digits, signs, spaces and line breaks.
 TAME_JVM = r"^[\n\r -~\x{00A1}-\x{00AC}\x{00AE}-\x{0250}\x{2012}-\x{2027}\x{20AC}\x{2116}]*+$"
+#: Characters that are, or become in plain form, a letter of another script or a look-alike.
+FOREIGN_JVM = r"[\x{0261}\x{0370}-\x{052F}\x{0585}\x{13A0}-\x{13FF}\x{A4D0}-\x{A4FF}\x{FF00}-\x{FFEF}\x{1D400}-\x{1D7FF}]"
 MOST_SOUGHT = 1_000_000
 
 
@@ -74,18 +77,18 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TO_LATIN))
 
 
-def _script(ch: str) -> str:
-    o = ord(ch)
-    return "" if not ch.isalpha() else "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else ""
+def _distinct(first: int, last: int) -> re.Pattern:
+    """Letters of a range that no other script has, accents or not."""
+    return re.compile("[" + "".join(chr(o) for o in range(first, last) if chr(o).isalpha() and ord(unicodedata.normalize("NFD", chr(o))[0]) not in _TO_LATIN) + "]")
 
 
-_DISTINCT = {s: re.compile(f"[{x}]") for s, x in {"cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff"}.items()}
+_DISTINCT = {"cyrillic": _distinct(0x400, 0x530), "greek": _distinct(0x370, 0x400)}
 _LATIN_DISTINCT = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in _SHARED) + "]")
 
 
-def dominant(skel: str, doubt: str = "latin") -> str:
-    """The script of most letters of a skeleton that no other script has; `doubt` if it has none."""
-    n = {"latin": len(_LATIN_DISTINCT.findall(skel)), "cyrillic": len(_DISTINCT["cyrillic"].findall(skel)), "greek": len(_DISTINCT["greek"].findall(skel))}
+def dominant(text: str, doubt: str = "latin") -> str:
+    """The script of most letters, of a text in plain form or its skeleton, that no other script has; `doubt` if it has none."""
+    n = {"latin": len(_LATIN_DISTINCT.findall(text)), "cyrillic": len(_DISTINCT["cyrillic"].findall(text)), "greek": len(_DISTINCT["greek"].findall(text))}
     best = max(n, key=lambda s: n[s])
     return best if n[best] else doubt
 
@@ -96,16 +99,21 @@ def form_of(token_skeleton: str, doubt: str = "latin") -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token_skeleton).translate(letters)) if letters else token_skeleton
 
 
+@lru_cache(maxsize=200_000)
+def _looks(token: str, doubt: str) -> tuple[str, str]:
+    skel = skeleton(token)
+    return skel, form_of(skel, doubt)
+
+
 def tokens_to_place(text: str) -> dict[str, tuple[str, str]]:
     """token -> (skeleton, form in its script) of those tokens of a text in plain form that could be written otherwise."""
     if not _FOREIGN.search(text):
         return {}
-    doubt = dominant(skeleton(text))
+    doubt = dominant(text)
     out = {}
     for token in set(_TOKEN.findall(text)):
-        if doubt != "latin" or _FOREIGN.search(token):
-            skel = skeleton(token)
-            form = form_of(skel, doubt)
+        if doubt != "latin" or (not token.isascii() and _FOREIGN.search(token)):
+            skel, form = _looks(token, doubt)
             if form != token or skel != token:
                 out[token] = (skel, form)
     return out
@@ -187,7 +195,7 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
         return pd.Series(norm, dtype=object)
 
     odd = _odd(text)
-    foreign = odd & F.coalesce(text.rlike("[" + "".join(map(chr, _TO_LATIN)) + "\u0370-\u052f\uff00-\uffef\U0001d400-\U0001d7ff]"), F.lit(False))
+    foreign = odd & F.coalesce(text.rlike(FOREIGN_JVM), F.lit(False))
     h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
     texts = df.where(foreign).select(text.alias("t")).withColumn("h", F.struct(F.xxhash64("t"), F.length("t"), F.crc32(F.encode("t", "UTF-8")))).dropDuplicates(["h"])
     by_text = (
