@@ -1,10 +1,12 @@
 """Freely typed values mapped to a canonical list (problem 7).
 
 Values are deduplicated, normalised and compared with the reference entries of their field by the weighted
-cosine of their character n-grams, retrieved through an inverted n-gram index. A value is also tried by its
-parts: each run of its words, the pieces around separators, and its words as abbreviations of an entry's
-words, scored by how much of the value the part covers. The best entry is checked by edit
-distance and accepted if its score reaches `threshold` and leads every other entry by `margin`; otherwise the value is reported as unmatched (ref_id 0).
+cosine of their character n-grams, retrieved through an inverted n-gram index. The n-grams are single letters, pairs,
+pairs with a letter between them and triples, so that a swap or a slip in a short value leaves enough of them. A value
+is also tried by its parts: each run of its words, the pieces around separators, and its words as abbreviations of an
+entry's words, scored by how much of the value the part covers. The cosine decides: an entry is accepted if its score reaches
+`threshold` and leads every other entry by `margin`; otherwise the value is reported as unmatched (ref_id 0). The edit
+distance only rejects: entries that are less than `LEAST_EDIT` alike letter by letter are no candidates.
 
 Defined results for odd input: null and blank values are not mapped (no row in `map_values`); a value equal to
 a label of its field maps to that entry; ties between two entries give 0; a text of any length is read whole
@@ -22,9 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regispark.session import read_table
+from regispark.session import cut_lineage, read_table
 
-THRESHOLD, MARGIN = 0.6, 0.04
+THRESHOLD, MARGIN, LEAST_EDIT, LEAST_PART = 0.4, 0.03, 0.5, 0.75
+#: Weights of single letters, pairs, pairs with a gap, triples.
+WEIGHTS = (2.0, 1.0, 1.0, 0.5)
 #: Colloquial names an entry goes by besides its labels, by entry label.
 ALIASES = {"e-post": ["meil", "e-mail"]}
 
@@ -86,11 +90,20 @@ def abbreviates(value: str, label: str) -> bool:
 
 
 def _grams(text: Column) -> Column:
-    """Character 2- and 3-grams of a text with its ends marked, with repeats."""
+    """The n-grams of a text with its ends marked, with repeats, each with its weight."""
     t = F.concat(F.lit("^"), text, F.lit("$"))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    return F.concat(two, three)
+    weighed = lambda g, w: F.struct(g.alias("gram"), F.lit(w).alias("weight"))
+    run = lambda n: F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))
+    one = F.transform(F.sequence(F.lit(2), F.length(t) - 1), lambda i: weighed(F.substring(t, i, F.lit(1)), WEIGHTS[0]))
+    two = F.transform(run(2), lambda i: weighed(F.substring(t, i, F.lit(2)), WEIGHTS[1]))
+    gap = F.transform(run(3), lambda i: weighed(F.concat(F.substring(t, i, F.lit(1)), F.lit("_"), F.substring(t, i + 2, F.lit(1))), WEIGHTS[2]))
+    three = F.transform(run(3), lambda i: weighed(F.substring(t, i, F.lit(3)), WEIGHTS[3]))
+    return F.concat(one, two, gap, three)
+
+
+def _first_stem(text: str) -> str:
+    words = re.findall(r"\w+", normalise(text))
+    return words[0][:3] if words else ""
 
 
 def map_values(values: DataFrame, reference: DataFrame, aliases: dict[str, list[str]] = ALIASES, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
@@ -118,35 +131,49 @@ def map_values(values: DataFrame, reference: DataFrame, aliases: dict[str, list[
             rows = [(f, v, p, c) for f, v in zip(b["field_name"], b["value"]) for p, c in variants(v, longest)]
             yield pd.DataFrame(rows, columns=["field_name", "value", "part", "cover"])
 
-    distinct = values.where("value is not null and trim(value) <> ''").select("field_name", "value").distinct()
-    tried = distinct.mapInPandas(parts, "field_name string, value string, part string, cover double")
+    distinct = cut_lineage(values.where("value is not null and trim(value) <> ''").select("field_name", "value").distinct())
+    tried = cut_lineage(distinct.mapInPandas(parts, "field_name string, value string, part string, cover double"))
+    entries = cut_lineage(entries)
 
-    postings = entries.select("field_name", "ref_id", "part", F.explode(_grams(F.col("part"))).alias("gram")).groupBy("field_name", "ref_id", "part", "gram").agg(F.count("*").alias("tf"))
+    grams = lambda df: df.withColumn("g", F.explode(_grams(F.col("part")))).groupBy(*df.columns, F.col("g.gram").alias("gram")).agg(F.sum("g.weight").alias("tf"))
+    postings = grams(entries.select("field_name", "ref_id", "part").distinct())
     sizes = entries.groupBy("field_name").agg(F.countDistinct("ref_id", "part").alias("n"))
-    idf = postings.groupBy("field_name", "gram").agg(F.count("*").alias("df")).join(sizes, "field_name").select("field_name", "gram", F.log1p(F.col("n") / F.col("df")).alias("idf"))
+    idf = postings.groupBy("field_name", "gram").agg(F.count("*").alias("df")).join(sizes, "field_name").select("field_name", "gram", (1 + F.log1p(F.col("n") / F.col("df"))).alias("idf"))
     postings = postings.join(idf, ["field_name", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
     norms = postings.groupBy("field_name", "ref_id", "part").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    index = postings.join(norms, ["field_name", "ref_id", "part"]).select("field_name", "gram", "ref_id", F.col("part").alias("entry"), (F.col("w") / F.col("norm")).alias("u"))
+    index = cut_lineage(postings.join(norms, ["field_name", "ref_id", "part"]).select("field_name", "gram", "ref_id", F.col("part").alias("entry"), "idf", (F.col("w") / F.col("norm")).alias("u")))
 
-    each = tried.select("field_name", "part").distinct().select("field_name", "part", F.explode(_grams(F.col("part"))).alias("gram")).groupBy("field_name", "part", "gram").agg(F.count("*").alias("tf"))
-    unseen = sizes.select("field_name", F.log1p(F.col("n")).alias("most"))
-    each = each.join(idf, ["field_name", "gram"], "left").join(unseen, "field_name", "left").withColumn("w", F.col("tf") * F.coalesce("idf", "most"))
+    each = grams(tried.select("field_name", "part").distinct())
+    weights = index.select("field_name", "gram", "idf").distinct()
+    unseen = sizes.select("field_name", (1 + F.log1p(F.col("n"))).alias("most"))
+    each = cut_lineage(each.join(weights, ["field_name", "gram"], "left").join(unseen, "field_name", "left").withColumn("w", F.col("tf") * F.coalesce("idf", "most")).select("field_name", "part", "gram", "w"))
     length = each.groupBy("field_name", "part").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     cosine = (
         each.join(index, ["field_name", "gram"]).groupBy("field_name", "part", "ref_id", "entry").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-        .join(length, ["field_name", "part"])
-        # The candidates of the index are checked by edit distance: of a swap of letters the cosine keeps little.
-        .withColumn("edit", 1 - F.levenshtein("part", "entry") / F.greatest(F.length("part"), F.length("entry")))
-        .withColumn("edit", F.when((F.length("part") <= 3) & (F.length("entry") <= 3), 0.0).otherwise(F.col("edit")))
-        .groupBy("field_name", "part", "ref_id").agg(F.max(F.when((F.length("part") <= 3) & (F.col("part") != F.col("entry")), F.col("edit")).otherwise(F.greatest(F.col("dot") / F.col("norm"), "edit"))).alias("cos"))
+        .where(1 - F.levenshtein("part", "entry") / F.greatest(F.length("part"), F.length("entry")) >= LEAST_EDIT)
+        .join(length, ["field_name", "part"]).groupBy("field_name", "part", "ref_id").agg(F.max(F.col("dot") / F.col("norm")).alias("cos"))
     )
     weight = F.when(F.col("cos") > 0.999, 0.6 + 0.4 * F.col("cover")).otherwise(0.5 + 0.5 * F.col("cover"))
     # A part of a value counts only if it is nearly an entry.
-    by_part = tried.join(cosine, ["field_name", "part"]).withColumn("score", F.when((F.col("cover") < 1) & (F.col("cos") < 0.75), 0.0).otherwise(F.col("cos") * weight))
+    by_part = tried.join(cosine, ["field_name", "part"]).withColumn("score", F.when((F.col("cover") < 1) & (F.col("cos") < LEAST_PART), 0.0).otherwise(F.col("cos") * weight))
     scored = by_part.groupBy("field_name", "value", "ref_id").agg(F.max("score").alias("score"))
 
-    is_short_form = F.udf(abbreviates, "boolean")
-    dotted = distinct.where("value rlike '\\\\p{L}[.]'").join(names, "field_name").where(is_short_form("value", "name")).select("field_name", "value", "ref_id", F.lit(1.0).alias("score"))
+    # Abbreviations: a dotted value meets the names that hold a word which begins like its first.
+    def stems(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(stem=[_first_stem(v) for v in b["value"]])
+
+    def name_stems(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r, f, n, s) for r, f, n in zip(b["ref_id"], b["field_name"], b["name"]) for s in {w[:3] for w in re.findall(r"\w+", normalise(n))}]
+            yield pd.DataFrame(rows, columns=["ref_id", "field_name", "name", "stem"])
+
+    @F.pandas_udf("boolean")
+    def is_short_form(value: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([abbreviates(v, n) for v, n in zip(value, name)], dtype=bool)
+
+    dotted = distinct.where("value rlike '\\\\p{L}[.]'").mapInPandas(stems, "field_name string, value string, stem string").join(names.mapInPandas(name_stems, "ref_id int, field_name string, name string, stem string"), ["field_name", "stem"])
+    dotted = dotted.where(is_short_form("value", "name")).select("field_name", "value", "ref_id", F.lit(1.0).alias("score")).distinct()
     # A value that is, letter for letter, the label of another field was typed into the wrong one.
     labels = reference.select(F.col("field_name").alias("of_field"), "label").mapInPandas(lambda it: (b.assign(part=[compact(normalise(x)) for x in b["label"]]) for b in it), "of_field string, label string, part string")
     misplaced = tried.where("cover >= 1").join(labels, "part").where("of_field <> field_name").select("field_name", "value").distinct()

@@ -51,7 +51,7 @@ _HYPHEN = re.compile(f"[{HYPHEN}]")
 _ODD = re.compile(f"[{INVISIBLE}{BLANK}{HYPHEN}{WIDE}\u2160-\u217f\U0001d400-\U0001d7ff\u0300-\u036f]")
 _TO_LATIN = {ord(k): v for k, v in (CYRILLIC_LIKE | GREEK_LIKE | OTHER_LIKE).items()}
 _FOREIGN = re.compile("[" + "".join(map(chr, _TO_LATIN)) + "\u0370-\u052f]")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
+_TOKEN = re.compile(r"[^\W_]+(?:[\u0300-\u036f]+[^\W_]*)*")
 _FROM_LATIN = {"latin": {}, "cyrillic": {ord(v): k for k, v in CYRILLIC_LIKE.items()}, "greek": {ord(v): k for k, v in GREEK_LIKE.items()}}
 _SHARED = set("".join(CYRILLIC_LIKE.values()) + "".join(GREEK_LIKE.values()) + "".join(OTHER_LIKE.values()))
 #: Texts of these characters alone are their own form: ordinary Latin letters, digits, signs, spaces and line breaks.

@@ -8,10 +8,10 @@ then, range-sorted by finish time. A source too small for its share is repeated,
 The running sums are made in two steps, over parts of the hash range and inside a part, so that a source with a
 third of all rows is spread like any other. Only sums by source reach the driver: one row for each target.
 
-A source that has sent all its copies leaves the queue and the others share what it leaves, as fair queueing does;
-so do the shares of sources without documents. The total budget fixes the virtual time at which the mixture is
-cut. If none is given, it is cut as late as the sources can bear: up to `SHORT_WEIGHT` of the weight, the smallest
-sources, may run dry before.
+The total budget fixes the virtual time at which the mixture is cut. `full_budget` is the largest at which every source
+with documents still has its share; it is the default. Under a larger one a source that has sent all its copies leaves the
+queue and the others share what it leaves, as fair queueing does; so do, always, the shares of sources without
+documents. `shares` tells what was reached.
 
 Defined results for odd input: null and empty texts hold no tokens and are not taken; sources are compared without
 case and blanks around them, documents without a source or of a source without target are not taken; targets
@@ -32,8 +32,6 @@ from regispark.session import cut_lineage, read_table
 
 #: Documents that one part of a source's hash range holds on average.
 PART_ROWS = 50_000
-#: Share of the weight whose sources may fall short of their target if no budget is given.
-SHORT_WEIGHT = 0.2
 MIXTURE = "id {kind}, source string, copy int, tokens bigint, finish double"
 
 
@@ -49,16 +47,14 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return out
 
 
-def cut_time(held: dict[str, int], most: dict[str, int], weight: dict[str, float], budget: int | None, short_weight: float = SHORT_WEIGHT) -> float:
-    """Virtual time at which the mixture ends. held: tokens of each source, most: copies it may give."""
+def full_budget(held: dict[str, int], most: dict[str, int], weight: dict[str, float]) -> int:
+    """The most tokens of which every source can give its share. held: tokens of each source, most: copies it may give."""
+    return math.floor(min(held[s] * most[s] / weight[s] for s in held) * sum(weight.values()))
+
+
+def cut_time(held: dict[str, int], most: dict[str, int], weight: dict[str, float], budget: int) -> float:
+    """Virtual time at which `budget` tokens have been sent, or all there are."""
     dry = sorted((held[s] * most[s] / weight[s], s) for s in held)
-    if budget is None:
-        lost = 0.0
-        for t, s in dry:
-            if lost + weight[s] > short_weight:
-                return t
-            lost += weight[s]
-        return dry[-1][0]
     sent, flowing = 0.0, sum(weight.values())
     for t, s in dry:
         if sent + flowing * t >= budget:
@@ -68,7 +64,7 @@ def cut_time(held: dict[str, int], most: dict[str, int], weight: dict[str, float
 
 
 def mix(docs: DataFrame, id_col: str, source_col: str, tokens_col: str, targets: dict[str, tuple[float, int]], budget: int | None = None) -> DataFrame:
-    """(id, source, copy, tokens, finish): the mixture in order of virtual finish time."""
+    """(id, source, copy, tokens, finish): the mixture of at most `budget` tokens, in order of virtual finish time."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), _source(source_col).alias("source"), F.col(tokens_col).cast("long").alias("tokens")).where("tokens > 0 and id is not null").where(F.col("source").isin(list(targets)))
     held = {r["source"]: (r["t"], r["n"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
@@ -77,7 +73,8 @@ def mix(docs: DataFrame, id_col: str, source_col: str, tokens_col: str, targets:
         return spark.createDataFrame([], MIXTURE.format(kind=kind))
     whole = sum(w for w, _ in present.values())
     weight = {s: w / whole for s, (w, _) in present.items()}
-    until = cut_time({s: held[s][0] for s in present}, {s: m for s, (_, m) in present.items()}, weight, budget)
+    tokens, most = {s: held[s][0] for s in present}, {s: m for s, (_, m) in present.items()}
+    until = cut_time(tokens, most, weight, full_budget(tokens, most, weight) if budget is None else budget)
     copies = {s: min(present[s][1], max(1, math.ceil(until * weight[s] / held[s][0]))) for s in present}
     lookup = lambda d, cast: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v).cast(cast))])[F.col("source")]
     parts = max(16, math.ceil(max(n for _, n in held.values()) / PART_ROWS))
@@ -104,23 +101,30 @@ def shares(mixture: DataFrame, targets: dict[str, tuple[float, int]]) -> DataFra
     )
 
 
-def _mixture(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
+def _sized(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
     docs = read_table(spark, folder, "documents")
     targets = targets_of(read_table(spark, folder, "mix_targets"))
     wanted = docs.where(_source("source").isin(list(targets)))
-    sized = cut_lineage(wanted.select("doc_id", "source", token_count(docs, "text", tokenizer).alias("n")))
-    return mix(sized, "doc_id", "source", "n", targets), targets
+    return cut_lineage(wanted.select("doc_id", "source", token_count(docs, "text", tokenizer).alias("n"))), targets
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """The mixture, one row for each document copy, in order."""
-    return _mixture(spark, folder)[0].withColumnRenamed("id", "doc_id")
+    """The largest mixture with every share, one row for each document copy, in order."""
+    sized, targets = _sized(spark, folder)
+    return mix(sized, "doc_id", "source", "n", targets).withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of every source."""
-    mixture, targets = _mixture(spark, folder)
-    return shares(mixture, targets)
+    sized, targets = _sized(spark, folder)
+    return shares(mix(sized, "doc_id", "source", "n", targets), targets)
+
+
+def p9_shares_of_half(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a budget of half the tokens the sources hold, at which small sources run dry."""
+    sized, targets = _sized(spark, folder)
+    budget = (sized.agg(F.sum("n")).first()[0] or 0) // 2
+    return shares(mix(sized, "doc_id", "source", "n", targets, budget), targets)
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_shares_of_half": p9_shares_of_half}

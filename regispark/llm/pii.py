@@ -2,8 +2,8 @@
 
 Patterns propose spans, validators confirm them, context words adjust their score; spans of `ACCEPT` or more are
 kept, the surer one where two overlap. Kinds: e-mail addresses (also spelt out), phone numbers, identity codes
-(birth date and check digit must hold), street and farm addresses, persons' names. Card and account numbers are
-recognised by Luhn and mod-97 so that no part of them passes for a phone number.
+(birth date and check digit must hold), street and farm addresses, persons' names, and card and account numbers, which
+Luhn and mod-97 confirm; no part of these passes for a phone number.
 
 Given names are learned: those that stand before a surname in mail headings and salutations of all texts make up
 the lexicon, together with the endings of the surnames. `LEAST_SHARE` bounds both by 1 / LEAST_SHARE entries,
@@ -31,7 +31,8 @@ from regispark.session import read_table
 
 ACCEPT = 0.5
 LEAST_SHARE = 1e-5
-PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idcode": "[IDCODE]", "address": "[ADDRESS]", "name": "[NAME]"}
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idcode": "[IDCODE]", "address": "[ADDRESS]", "name": "[NAME]", "card": "[CARD]", "account": "[ACCOUNT]"}
+KINDS = ["email", "phone", "idcode", "address", "name"]  #: those asked for; cards and accounts are masked besides
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽА-ЯЁ", "a-zß-öø-ÿšžа-яё"
 _L = f"[{_UP}{_LOW}]"
@@ -40,6 +41,8 @@ _DOT = r"(?:\.|\s?\[\s?(?:punkt|dot)\s?\]\s?|\s?\(\s?(?:punkt|dot)\s?\)\s?)"
 _EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)+", re.A)
 _PREFIX = r"(?:\(\+\d{1,3}\)|\+\d{1,3}|\(00\d{1,3}\)|00\d{3})"
 _PHONE = re.compile(rf"(?<![\w+(])(?<!\d )(?<!\d[.,/-])(?:(?P<cc>{_PREFIX})[\s-]?)?(?P<no>\d{{3,4}}-\d{{3,4}}|\d{{4}} \d{{4}}|\d{{4}} \d{{3}}|\d{{3}} \d{{4}}|\d{{3}} \d{{2}} \d{{2}}|\d{{3}}-\d{{2}}-\d{{2}}|\d{{7,8}})(?![\w-]*\d)(?! \d)(?![.,/]\d)")
+#: Numbers of other countries: prefix and two to six groups.
+_ABROAD = re.compile(r"(?<![\w+(])(?:\(\+(?!372)\d{1,3}\)|\+(?!372)\d{1,3})(?:[ -]?\(?\d{1,4}\)?){2,6}(?![\w-]*\d)")
 _IDCODE = re.compile(r"(?<![\d-])(?<!\d )\d{7}[ -]?\d{4}(?![\d-])(?! ?\d)")
 _ACCOUNT = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|\b\d(?:[ -]?\d){12,18}\b")
 _PLACE = rf"[{_UP}]{_L}+(?:-{_L}+)*"
@@ -99,6 +102,35 @@ class Lexicon:
         self.short = {fold(s) for k, v in SHORT_NAMES.items() if fold(k).split("-")[0] in self.given for s in v.split()}
         self.endings = set(endings)
         self.begun = {g[:n] for g in self.given for n in (2, 3, 4)}
+        #: Given names by each third of their letters: two edits leave one third as it is, at most two places off.
+        self.thirds: dict[tuple[int, int, str], list[str]] = {}
+        for g in self.given:
+            cuts = [len(g) * k // 3 for k in range(4)]
+            for k in range(3):
+                self.thirds.setdefault((len(g), k, g[cuts[k] : cuts[k + 1]]), []).append(g)
+        self.slips: dict[str, bool] = {}
+
+    def is_misspelt(self, word: str) -> bool:
+        """Whether a word is a given name but for a slip or two."""
+        hit = self.slips.get(word)
+        if hit is None:
+            if len(self.slips) > 200_000:
+                self.slips.clear()
+            hit = self.slips[word] = self._misspelt(word)
+        return hit
+
+    def _misspelt(self, word: str) -> bool:
+        most = 2 if len(word) > 5 else 1
+        for n in range(max(1, len(word) - most), len(word) + most + 1):
+            cuts = [n * k // 3 for k in range(4)]
+            for k in range(3):
+                for off in range(-most, most + 1):
+                    if (at := cuts[k] + off) < 0:
+                        continue
+                    for g in self.thirds.get((n, k, word[at : cuts[k + 1] + off]), ()):
+                        if (g[0] == word[0] or g[1:3] == word[1:3]) and edits(word, g, most) <= most:
+                            return True
+        return False
 
     def is_given(self, word: str) -> bool:
         w = fold(word)
@@ -140,7 +172,7 @@ def names_in(text: str, lex: Lexicon) -> Iterator[tuple[int, int, float]]:
             if (len(a) == 2 or fold(a[:-1]) in lex.begun) and not b.endswith(".") and (lex.is_surname(b) or (sb != "lower" and len(b) > 4 and len(a) == 2)) and (sa != "lower" or sb == "lower"):
                 score = 0.8 if lex.is_surname(b) else 0.5
         elif b.endswith("."):
-            if lex.is_surname(a) and len(b) == 2 and sa != "lower" and (not comma or True):
+            if lex.is_surname(a) and len(b) == 2 and sa != "lower":
                 score = 0.6 if _ENDING.match(text, m.end()) else 0.0
         elif lex.is_given(a) and not comma:
             if lex.is_surname(b):
@@ -179,17 +211,11 @@ def party_name(value: str, lex: Lexicon) -> tuple[int, int] | None:
             score += 0.5 if any(x[-4:] in lex.endings for x in others) else 0
         elif w.endswith(".") and len(b) in (2, 3) and b in lex.begun and w is words[0]:
             score += 0.5
-        elif len(b) > 3 and b[-4:] not in lex.endings and _misspelt(b.split("-")[0], lex):
+        elif len(b) > 3 and b[-4:] not in lex.endings and lex.is_misspelt(b.split("-")[0]):
             score += 0.5
     return (start, start + len(head)) if score >= ACCEPT else None
 
 
-def _misspelt(word: str, lex: Lexicon) -> bool:
-    """Whether a word is a given name but for a slip or two."""
-    most = 2 if len(word) > 5 else 1
-    return any(edits(word, g, most) <= most for g in lex.given if abs(len(g) - len(word)) <= most and (g[0] == word[0] or g[1:3] == word[1:3]))
-
-
 def pii_spans(text: str, lex: Lexicon, party: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every piece of personal information, in order of place."""
     found: list[tuple[float, int, int, str]] = []
@@ -198,7 +224,7 @@ def pii_spans(text: str, lex: Lexicon, party: bool = False) -> list[tuple[int, i
     for m in _ACCOUNT.finditer(text):
         digits = re.sub(r"\D", "", m[0])
         if mod97(m[0]) if m[0][:2].isalpha() else (len(digits) >= 13 and luhn(digits)):
-            found.append((0.95, m.start(), m.end(), ""))
+            found.append((0.95, m.start(), m.end(), "account" if m[0][:2].isalpha() else "card"))
     for m in _IDCODE.finditer(text):
         if id_code_holds(m[0]):
             found.append((0.9, m.start(), m.end(), "idcode"))
@@ -208,6 +234,9 @@ def pii_spans(text: str, lex: Lexicon, party: bool = False) -> list[tuple[int, i
         score += 0.3 if PHONE_WORDS.search(before) else -0.5 if NO_PHONE_WORDS.search(before) and not m["cc"] else 0.0
         if 7 <= len(re.sub(r"\D", "", m["no"])) <= 8:
             found.append((min(score, 0.89), m.start(), m.end(), "phone"))
+    for m in _ABROAD.finditer(text):
+        if 8 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            found.append((0.87, m.start(), m.end(), "phone"))
     for m in _FARM.finditer(text):
         found.append((0.88, m.start(), m.end(), "address"))
     for m in _STREET.finditer(text):
@@ -223,7 +252,7 @@ def pii_spans(text: str, lex: Lexicon, party: bool = False) -> list[tuple[int, i
     for score, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
         if score >= ACCEPT * (0.9 if kind == "name" else 1) and not any(a < y and b > x for x, y, _ in kept):
             kept.append((a, b, kind))
-    return sorted(k for k in kept if k[2])
+    return sorted(kept)
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -304,7 +333,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     mails, actors, lex = _sources(spark, folder)
     a = find_pii(mails, "contents", lex, ["id"]).select(F.lit("files").alias("tbl"), F.col("id").alias("row_id"), "kind", "pii_value")
     b = find_pii(actors, "value", lex, ["fetch_id"], party=True).select(F.lit("rmk_records").alias("tbl"), F.col("fetch_id").alias("row_id"), "kind", "pii_value")
-    return a.unionByName(b).distinct()
+    return a.unionByName(b).where(F.col("kind").isin(KINDS)).distinct()
 
 
 def p4_masked(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,3 +31,9 @@ def test_ties_are_unmatched(spark):
 
 def test_parts():
     assert dict(variants("Kiri/Letter", 3))["kiri"] > 0.5 and abbreviates("Osal. avalik", "Osaliselt avalik") and not abbreviates("avalik", "Osaliselt avalik")
+
+
+def test_the_cosine_decides_and_edits_only_reject(spark):
+    """Swaps and slips of short values are found by their letters; what shares letters in another order is rejected."""
+    want = {"lepnig": 3, "ikri": 1, "pingel": 0, "kir": 1, "leping leping": 3, "gnipel": 0}
+    assert mapped(spark, *[("a", v) for v in want]) == {("a", v): k for v, k in want.items()}

@@ -35,10 +35,24 @@ def test_parties():
 
 def test_checks():
     assert pii.luhn("4539 1488 0343 6467") and not pii.luhn("4539 1488 0343 6468") and pii.mod97("EE38 2200 2210 2014 5685") and not pii.mod97("EE39 2200 2210 2014 5685")
-    assert spans("konto EE38 2200 2210 2014 5685") == set() and spans("kaart 4539 1488 0343 6467") == set()
+    assert spans("konto EE38 2200 2210 2014 5685") == {("account", "EE38 2200 2210 2014 5685")} and spans("kaart 4539 1488 0343 6467") == {("card", "4539 1488 0343 6467")}
+    assert spans("konto EE39 2200 2210 2014 5685") == set() and spans("kaart 4539 1488 0343 6468") == set()
+    text = "Makske kontole EE38 2200 2210 2014 5685, kaart 4539 1488 0343 6467."
+    assert pii.mask(text, pii.pii_spans(text, LEX)) == "Makske kontole [ACCOUNT], kaart [CARD]."
     assert pii.id_code_holds("37605030299") and not pii.id_code_holds("37605030298") and not pii.id_code_holds("37613030299")
 
 
+@pytest.mark.parametrize("number", ["+44 20 7946 0958", "+358 40 123 4567", "+1 415 555 2671", "(+46) 8 123 456 78", "+49-30-901820"])
+def test_phones_of_other_countries(number):
+    assert spans(f"Helista {number} homme") == {("phone", number)}
+
+
+def test_slips_in_given_names_are_found_by_thirds():
+    lex = pii.Lexicon(["aleksander", "veronika", "liis", "ants"], [])
+    near = {"aleksandre": True, "alksander": True, "verinika": True, "lis": False, "antso": True, "xyzw": False, "varenika": True, "aleksndar": True}
+    assert {w: lex.is_misspelt(w) for w in near} == {w: any(pii.edits(w, g, 2 if len(w) > 5 else 1) <= (2 if len(w) > 5 else 1) and (g[0] == w[0] or g[1:3] == w[1:3]) for g in lex.given) for w in near}
+
+
 def test_tables(spark):
     texts = ["Lugupeetud Liisa Tarmukivi!\nKirjutan a@b.test", None, "", "Lugupeetud Liisa Tarmukivi!\nKirjutan a@b.test", "sõna " * 50_000 + "a@b.test"]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "id bigint, t string, at int, kind2 string")
