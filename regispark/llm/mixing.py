@@ -32,6 +32,7 @@ from regispark.session import cut_lineage, read_table
 
 #: Documents that one part of a source's hash range holds on average.
 PART_ROWS = 50_000
+BINS = 16_384
 MIXTURE = "id {kind}, source string, copy int, tokens bigint, finish double"
 
 
@@ -75,7 +76,9 @@ def mix(docs: DataFrame, id_col: str, source_col: str, tokens_col: str, targets:
     weight = {s: w / whole for s, (w, _) in present.items()}
     tokens, most = {s: held[s][0] for s in present}, {s: m for s, (_, m) in present.items()}
     until = cut_time(tokens, most, weight, full_budget(tokens, most, weight) if budget is None else budget)
-    copies = {s: min(present[s][1], max(1, math.ceil(until * weight[s] / held[s][0]))) for s in present}
+    # Documents finish late by half their size on average, so the order is looked at some way past the cut.
+    beyond = until * 1.5 + max(1.0, until * 0.01)
+    copies = {s: min(present[s][1], max(1, math.ceil(beyond * weight[s] / held[s][0]))) for s in present}
     lookup = lambda d, cast: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v).cast(cast))])[F.col("source")]
     parts = max(16, math.ceil(max(n for _, n in held.values()) / PART_ROWS))
     taken = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), lookup(copies, "int")))).withColumn("h", F.xxhash64("id", "copy", F.lit("mix")))
@@ -85,7 +88,15 @@ def mix(docs: DataFrame, id_col: str, source_col: str, tokens_col: str, targets:
     before = sums.select("source", "copy", "part", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("before"))
     inside = F.sum("tokens").over(Window.partitionBy("source", "copy", "part").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
     timed = taken.withColumn("inside", inside).join(before, ["source", "copy", "part"]).withColumn("finish", (F.col("before") + F.col("inside")) / lookup(weight, "double"))
-    return timed.where(F.col("finish") <= until * (1 + 1e-12)).select("id", "source", "copy", "tokens", "finish").orderBy("finish", "source", "copy", "id")
+    timed = cut_lineage(timed.where(F.col("finish") <= beyond).select("id", "source", "copy", "tokens", "finish"))
+    # The total budget truncates the order; where, a histogram over BINS parts of the time tells.
+    want = sum(weight.values()) * until if budget is None else budget
+    sent, cut = 0, 0.0
+    for r in sorted(timed.groupBy(F.floor(F.col("finish") / beyond * BINS).alias("bin")).agg(F.sum("tokens").alias("t"), F.max("finish").alias("last")).collect(), key=lambda r: r["bin"]):
+        if sent + r["t"] > want:
+            break
+        sent, cut = sent + r["t"], r["last"]
+    return timed.where(F.col("finish") <= cut).orderBy("finish", "source", "copy", "id")
 
 
 def shares(mixture: DataFrame, targets: dict[str, tuple[float, int]]) -> DataFrame:
