@@ -58,7 +58,7 @@ _SHARED = set("".join(CYRILLIC_LIKE.values()) + "".join(GREEK_LIKE.values()) + "
 TAME_JVM = r"^[\n\r -~\x{00A1}-\x{00AC}\x{00AE}-\x{0250}\x{2012}-\x{2027}\x{20AC}\x{2116}]*+$"
 #: Characters that are, or become in plain form, a letter of another script or a look-alike.
 FOREIGN_JVM = r"[\x{0261}\x{0370}-\x{052F}\x{0585}\x{13A0}-\x{13FF}\x{A4D0}-\x{A4FF}\x{FF00}-\x{FFEF}\x{1D400}-\x{1D7FF}]"
-MOST_SOUGHT = 1_000_000
+MOST_SOUGHT = 200_000
 
 
 def plain(text: str) -> str:
@@ -123,27 +123,19 @@ def _odd(text):
     return F.coalesce(~text.rlike(TAME_JVM), F.lit(False))
 
 
-def placed_tokens(df: DataFrame, text_col: str) -> DataFrame:
-    """(token, form, written): how each token is to be written that is not written so already."""
-    text = F.col(f"`{text_col}`").cast("string")
-    source = df.select(text.alias("text")).where("text is not null and text <> ''")
-
-    def seen(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n: dict[tuple[str, str, str], int] = {}
-            for t in batch["text"]:
-                for token, (skel, form) in tokens_to_place(plain(t)).items():
-                    n[token, skel, form] = n.get((token, skel, form), 0) + 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["token", "skel", "form", "n"])
+def placed_tokens(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(token, form, written): how each token is to be written that is not written so already.
 
-    rows = cut_lineage(source.where(_odd(F.col("text"))).mapInPandas(seen, "token string, skel string, form string, n bigint").groupBy("token", "skel", "form").agg(F.sum("n").alias("n")))
+    tokens: token, skel, form, of all texts with letters of several scripts; texts: text, all of the corpus.
+    """
+    rows = cut_lineage(tokens.groupBy("token", "skel", "form").agg(F.count("*").alias("n")))
     # Only what is not in its form, or shares its look with something that is not, has to be looked up.
     open_looks = rows.where("token <> form").select("skel").distinct()
     rows = rows.join(open_looks, "skel", "left_semi")
     sought = cut_lineage(rows.select(F.explode(F.array("skel", "form")).alias("word")).distinct())
     known = None
     if sought.count() <= MOST_SOUGHT:
-        known = df.sparkSession.sparkContext.broadcast({r["word"] for r in sought.collect()})
+        known = texts.sparkSession.sparkContext.broadcast({r["word"] for r in sought.collect()})
 
     def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[str] = set()
@@ -157,8 +149,8 @@ def placed_tokens(df: DataFrame, text_col: str) -> DataFrame:
         yield pd.DataFrame({"word": list(found)}, dtype=object)
 
     if known is not None and not known.value:
-        return df.sparkSession.createDataFrame([], "token string, form string, written string")
-    occurs = source.mapInPandas(words, "word string").distinct().join(sought, "word", "left_semi")
+        return texts.sparkSession.createDataFrame([], "token string, form string, written string")
+    occurs = texts.mapInPandas(words, "word string").distinct().join(sought, "word", "left_semi")
     most = rows.groupBy("skel").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("most")).select("skel", F.col("most.token").alias("most"))
     written = (
         rows.join(occurs.select(F.col("word").alias("form"), F.lit(True).alias("form_occurs")), "form", "left")
@@ -176,7 +168,7 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
     no text travels with more than its own tokens.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    place = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("form", T.StringType())]))
+    place = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("token", "skel", "form")]))
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
@@ -184,7 +176,7 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
 
     @F.pandas_udf(place)
     def to_place(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"token": a, "form": f} for a, (_, f) in sorted(tokens_to_place(plain(t)).items())] for t in texts], dtype=object)
+        return pd.Series([[{"token": a, "skel": s, "form": f} for a, (s, f) in sorted(tokens_to_place(plain(t)).items())] for t in texts], dtype=object)
 
     @F.pandas_udf("string")
     def fixed(texts: pd.Series, tokens: pd.Series, forms: pd.Series) -> pd.Series:
@@ -194,20 +186,17 @@ def unify(df: DataFrame, text_col: str, out_col: str | None = "text_norm", key_c
             norm.append(_TOKEN.sub(lambda m, by=by: by.get(m[0], m[0]), plain(t)) if by else plain(t))
         return pd.Series(norm, dtype=object)
 
-    odd = _odd(text)
-    foreign = odd & F.coalesce(text.rlike(FOREIGN_JVM), F.lit(False))
-    h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
-    texts = df.where(foreign).select(text.alias("t")).withColumn("h", F.struct(F.xxhash64("t"), F.length("t"), F.crc32(F.encode("t", "UTF-8")))).dropDuplicates(["h"])
-    by_text = (
-        texts.select("h", F.explode(to_place("t")).alias("p")).select("h", "p.token", "p.form")
-        .join(cut_lineage(placed_tokens(df, text_col)), ["token", "form"])
-        .groupBy("h").agg(F.collect_list("token").alias("__a"), F.collect_list("written").alias("__b"))
-        .withColumnRenamed("h", "__h")
-    )
     own = [F.col(f"`{c}`") for c in df.columns]
-    tame = df.where(~odd).withColumn("__n", text)
-    odd_rows = df.where(odd & ~foreign).withColumn("__n", form(text))
-    foreign_rows = df.where(foreign).withColumn("__h", h).join(by_text, "__h", "left").withColumn("__n", fixed(text, F.col("__a"), F.col("__b")))
+    tame = df.where(~_odd(text)).withColumn("__n", text)
+    odd = cut_lineage(df.where(_odd(text)))
+    foreign = F.coalesce(text.rlike(FOREIGN_JVM), F.lit(False))
+    h = F.struct(F.xxhash64(text), F.length(text), F.crc32(F.encode(text, "UTF-8")))
+    texts = odd.where(foreign).select(text.alias("t")).withColumn("h", F.struct(F.xxhash64("t"), F.length("t"), F.crc32(F.encode("t", "UTF-8")))).dropDuplicates(["h"])
+    tokens = cut_lineage(texts.select("h", F.explode(to_place("t")).alias("p")).select("h", "p.token", "p.skel", "p.form"))
+    placed = placed_tokens(tokens.select("token", "skel", "form"), df.select(text.alias("text")).where("text is not null and text <> ''"))
+    by_text = tokens.join(placed, ["token", "form"]).groupBy("h").agg(F.collect_list("token").alias("__a"), F.collect_list("written").alias("__b")).withColumnRenamed("h", "__h")
+    odd_rows = odd.where(~foreign).withColumn("__n", form(text))
+    foreign_rows = odd.where(foreign).withColumn("__h", h).join(by_text, "__h", "left").withColumn("__n", fixed(text, F.col("__a"), F.col("__b")))
     every = tame.select(*own, "__n").unionByName(odd_rows.select(*own, "__n")).unionByName(foreign_rows.select(*own, "__n"))
     return every.select(*own, *([F.col("__n").alias(out_col)] if out_col else []), F.when(text != "", F.md5(F.encode("__n", "UTF-8"))).alias(key_col))
 

@@ -1,13 +1,15 @@
 """Variant spellings of names (problem 2): metric-space partitioning with exact radius joins.
 
 A name is a pair of words or groups of words: a frequent one (a given name, a line of business, an institution)
-and a rare one (a surname, the name of a firm), in any order. The metric is the sum of the edit distances of the
-two. The frequent words, learned from all values, are the pivots: each name belongs to the cell of the pivot
-nearest to its frequent word and is replicated to every other pivot within the radius of that word, which by the
-triangle inequality is every cell that can hold a partner. Inside a cell an exact radius join finds the names
+and a rare one (a surname, the name of a firm), in any order. The metric is the sum of the Damerau-Levenshtein distances of the
+two. The frequent words, learned from all values, are the pivots. A name whose frequent word is a pivot belongs to
+that pivot's cell; one whose word is none is replicated to the cell of every pivot within the radius of that word. Two
+different frequent words are two names, however near, so a pair that may be linked has at most one word that is no
+pivot or two such words near one pivot, and by the triangle inequality it meets in a cell. Inside a cell an exact radius join finds the names
 whose rare words are within two edits (one for short ones), a swap of neighbours counting as one: names
 that close share a string left by deleting at most two letters, so the join is an equi-join on
-(pivot, remaining string), checked with the edit distance itself. Two spellings that are both well attested
+(pivot, remaining string), checked with the distance itself. A value follows a name if both distances together are at most
+`RADIUS`. Two spellings that are both well attested
 (three different ways of writing each) are namesakes and stay apart, unless they are one edit apart and one has `SLIPS`
 times the rows of the other: slips recur as a share of the rows of a name. Also apart stay firms of
 different legal forms, and names two edits apart that both consist of usual triples of letters, as slips do not.
@@ -40,29 +42,42 @@ LEAST_PIVOT = 6
 ESTABLISHED = 3
 SLIPS = 50  #: a name with so many times the rows of another explains it as a slip, however often that recurs
 USUAL_SHARE = 5e-4
+RADIUS = 3  #: edits in both words together
 
 
-def osa(a: str, b: str, most: int = 3) -> int:
-    """Edit distance with swaps of neighbours, most + 1 if it is larger. Only a band around the diagonal is filled."""
+def damerau(a: str, b: str, most: int = 3) -> int:
+    """Damerau-Levenshtein distance, most + 1 if it is larger: insertions, deletions, changes, and swaps of letters
+    between which others may have come or gone (without that last, the triangle inequality would not hold).
+    Only a band around the diagonal is filled."""
     if a == b:
         return 0
     n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
     far = most + 1
-    before: list[int] = []
-    row = list(range(m + 1)) if m <= most else [*range(most + 1), *([far] * (m - most))]
+    if abs(n - m) > most:
+        return far
+    # The last rows, newest at the end; a swap reaches back over no more than `most` letters.
+    rows: list[list[int]] = [list(range(m + 1)) if m <= most else [*range(most + 1), *([far] * (m - most))]]
     for i in range(1, n + 1):
-        last, before = before, row
+        above = rows[-1]
         row = [far] * (m + 1)
         if i <= most:
             row[0] = i
         for j in range(max(1, i - most), min(m, i + most) + 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, last[j - 2] + 1)
+            cost = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (a[i - 1] != b[j - 1]))
+            if cost > 1:
+                for k in range(i - 1, max(0, i - 1 - most), -1):
+                    if a[k - 1] == b[j - 1]:
+                        for x in range(j - 1, max(0, j - 1 - most), -1):
+                            if b[x - 1] == a[i - 1]:
+                                # rows[-1] is row i - 1, so row k - 1 is i - k rows before the one being filled.
+                                cost = min(cost, rows[-(i - k + 1)][x - 1] + (i - k - 1) + 1 + (j - x - 1))
+                                break
+                        break
             row[j] = min(cost, far)
-    return row[m]
+        rows.append(row)
+        if len(rows) > most + 2:
+            rows.pop(0)
+    return rows[-1][m]
 
 
 def radius(root: str) -> int:
@@ -174,7 +189,7 @@ def linked_names(values: DataFrame) -> DataFrame:
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            d = osa(x, y)
+            d = damerau(x, y)
             # Two edits between two words that both read like names are two names.
             out.append(9 if d > 1 and usual.value and reads_well(x, usual.value) and reads_well(y, usual.value) else d)
         return pd.Series(out, dtype="int32")
@@ -194,7 +209,7 @@ def linked_names(values: DataFrame) -> DataFrame:
         if not jumped.where("moved").limit(1).count():
             break
     attested = tops.where("rows > 0").groupBy("pivot", "top").agg(F.sum("rows").alias("support"))
-    placed = read_as.join(tops.select("pivot", "root", "top", "d"), ["pivot", "root"]).join(attested, ["pivot", "top"], "left").where(F.col("support").isNotNull() | (F.col("of") == 1))
+    placed = read_as.join(tops.select("pivot", "root", "top", "d"), ["pivot", "root"]).join(attested, ["pivot", "top"], "left").where((F.col("support").isNotNull() | (F.col("of") == 1)) & (F.col("d") + F.col("cost") <= RADIUS))
     rank = F.struct(F.col("d"), F.col("cost"))
     best = placed.groupBy("value").agg(F.min(rank).alias("b"))
     fits = placed.join(best, "value").where(rank == F.col("b")).groupBy("value").agg(F.collect_set(F.concat_ws("\x00", "pivot", "top")).alias("e"))

@@ -27,7 +27,6 @@ SHORT_NAMES = {
     "wilhelmine": "mina miina", "zinaida": "zina", "ülleke": "ülle", "õnnela": "õnne", "margarita": "rita", "elena": "lena", "aleksei": "aljoša", "sergei": "serjoža", "tatjana": "tanja", "natalia": "nataša", "ivan": "vanja", "jevgeni": "ženja",
 }
 INSTITUTIONS = ["vallavalitsus", "linnavalitsus", "linnavolikogu", "vallavolikogu", "põhikool", "gümnaasium", "kool", "lasteaed", "haigla", "arendusinstituut", "instituut", "ülikool", "ministeerium", "amet", "kohus", "keskus", "inspektsioon", "prokuratuur", "raamatukogu", "muuseum", "selts", "fond"]
-GENERIC = {"eraisik", "füüsiline isik", "kõik töötajad", "erinevad adressaadid", "asutuse juhtkond", "vastavalt nimekirjale", "teadmata", "puudub"}
 
 _EMAIL = r"[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:\.|\s?\[(?:punkt|dot)\]\s?|\((?:punkt|dot)\))[\w-]+)+"
 _TAIL = re.compile(
@@ -160,8 +159,6 @@ class Reading:
     cost: int
 
 
-#: Words of institutions that stand beside their main word and say nothing of their own.
-COMPANIONS = {"arendusinstituut": ["teadus", "ja"], "haigla": [], "vallavalitsus": ["valla"], "linnavolikogu": ["linna"]}
 SPLIT_WORDS = {("valla", "valitsus"): "vallavalitsus", ("linna", "volikogu"): "linnavolikogu", ("linna", "valitsus"): "linnavalitsus", ("pohi", "kool"): "pohikool"}
 
 

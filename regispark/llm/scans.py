@@ -42,7 +42,6 @@ CONTEXTS, DIMENSIONS = 512, 48
 COLUMNS = 2 * CONTEXTS
 RATIO = 15
 ALIKE = 0.8  #: cosine from which two words are used alike
-LONGEST_WORD = 64  #: a longer run of letters is no word and stays as it is
 NAME_GAIN = 3.0
 RARE_STEP = math.log(0.006)
 
@@ -69,7 +68,7 @@ _LETTERS = re.compile(r"[^\W\d_]")
 def _header_shape(line: str) -> bool:
     """A line that could be a running header: short, begins large, is no sentence and more than a bare word."""
     s = line.strip("\x0c ")
-    if not 4 <= len(s) <= 64 or _ENDS.search(s) or not (s[0].isupper() or s[0].isdigit() or line.startswith("\x0c")):
+    if len(s) < 4 or _ENDS.search(s) or not (s[0].isupper() or s[0].isdigit() or line.startswith("\x0c")):
         return False
     words = s.split()
     if len(words) < 2:
@@ -116,16 +115,19 @@ def furniture(lines: list[str]) -> set[int]:
         cell = before is not None and head is not None and not lines[k].startswith(" ") and not _NUMBER_LINE.match(lines[before]) and _table_head(lines[head]) and not _table_head(lines[before])
         if not cell:
             plain.append((k, int(m[1])))
-    # Bare numbers count up by one from page to page.
+    # Bare numbers count up by one from page to page: the longest such chain, in one pass.
+    ends: dict[int, tuple[int, int]] = {}  # number -> length and place in `plain` of the longest chain that ends with it
+    link: list[int] = []
+    for i, (_, n) in enumerate(plain):
+        size, before = ends.get(n - 1, (0, -1))
+        link.append(before)
+        if size + 1 > ends.get(n, (0, -1))[0]:
+            ends[n] = (size + 1, i)
     best: list[int] = []
-    for i, (k, n) in enumerate(plain):
-        chain, want = [k], n + 1
-        for k2, n2 in plain[i + 1 :]:
-            if n2 == want:
-                chain.append(k2)
-                want += 1
-        if len(chain) > len(best):
-            best = chain
+    at_end = max(ends.values(), key=lambda e: (e[0], -e[1]))[1] if ends else -1
+    while at_end >= 0:
+        best.append(plain[at_end][0])
+        at_end = link[at_end]
     if not numbers or len(best) > 1:
         numbers |= set(best)
     found = set(numbers)
@@ -139,7 +141,8 @@ def furniture(lines: list[str]) -> set[int]:
         and (all(w[0].isupper() or w[0].isdigit() or w in "–-" for w in lines[k].split()) or (not _ENDS.search(lines[p].strip()) and lines[n].lstrip()[:1].islower()))
     }
     heads = {lines[h].strip("\x0c ") for h in page_edge | amid}
-    again = {k for k in shaped - page_edge - amid if any(_alike(lines[k].strip("\x0c "), h) for h in heads)}
+    alike = {x: x in heads or any(_alike(x, h) for h in heads) for x in {lines[k].strip("\x0c ") for k in shaped - page_edge - amid}}
+    again = {k for k in shaped - page_edge - amid if alike[lines[k].strip("\x0c ")]}
     return found | page_edge | amid | again
 
 
@@ -241,7 +244,7 @@ class ScanModel:
 
     def _candidates(self, word: str) -> list[tuple[str, float]]:
         letters = sum(map(str.isalpha, word))
-        if letters < 2 or not 3 <= len(word) <= LONGEST_WORD or any(c in "/@" for c in word):
+        if letters < 2 or not 3 <= len(word) <= self.longest or any(c in "/@" for c in word):
             return []
         digits = sum(map(str.isdigit, word))
         if digits and (digits > 2 or letters < 3):
@@ -293,6 +296,13 @@ class ScanModel:
             self._top = max(self.counts.values(), default=0)
         return self._top
 
+    @property
+    def longest(self) -> int:
+        """Letters of the longest word of the vocabulary, broken in two once more: what is longer is no misread word of it."""
+        if not hasattr(self, "_longest"):
+            self._longest = 2 + max(map(len, self.counts), default=0)
+        return self._longest
+
     def right(self, word: str, around: list[str]) -> str:
         """The word that stood there, by frequency and, among several, by the neighbours' vectors."""
         found = self.candidates(word)
@@ -319,38 +329,41 @@ class ScanModel:
         return self.right(plain, around)
 
 
+class Page:
+    """A text with what is to be repaired in it: furniture, broken words in one piece, right words for misread ones."""
+
+    def __init__(self, text: str, model: ScanModel) -> None:
+        self.lines = text.split("\n")
+        self.gone = furniture(self.lines)
+        self.broken = {k: (head, nxt, rest, hyphen) for k, head, nxt, rest, hyphen in broken_pairs(self.lines, self.gone)}
+        self.taken = {nxt for _, nxt, _, _ in self.broken.values()}
+        self.whole: dict[int, str] = {}  # line -> word begun at its end
+        self.right: dict[tuple[int, int], str] = {}  # line and place of a misread word -> right word
+        stream = [(k, i, w.strip(EDGE)) for k, line in enumerate(self.lines) if k not in self.gone for i, w in enumerate(line.split())]
+        last = {k: i for k, i, _ in stream}
+        words = [w for *_, w in stream]
+        for j, (k, i, w) in enumerate(stream):
+            if k in self.broken and i == last[k]:
+                head, _, rest, hyphen = self.broken[k]
+                self.whole[k] = model.whole(head, rest.strip(EDGE), hyphen, words[max(0, j - 2) : j] + words[j + 2 : j + 4])
+            elif w and not (i == 0 and k in self.taken):
+                fixed = model.right(w, words[max(0, j - 2) : j] + words[j + 1 : j + 3])
+                if fixed != w:
+                    self.right[k, i] = fixed
+
+
 def findings(text: str, model: ScanModel) -> Iterator[tuple[int, str, str]]:
     """(line number, kind, word) of furniture, broken words and misread words."""
-    lines = text.split("\n")
-    gone = furniture(lines)
-    broken = {k: (head, nxt, rest, hyphen) for k, head, nxt, rest, hyphen in broken_pairs(lines, gone)}
-    taken = {nxt for _, nxt, _, _ in broken.values()}
-    stream = [(k, i, w.strip(EDGE)) for k, line in enumerate(lines) if k not in gone for i, w in enumerate(line.split())]
-    last = {}
-    for k, i, _ in stream:
-        last[k] = i
-    words = [w for *_, w in stream]
-    for k in sorted(gone):
-        yield k + 1, "furniture", ""
-    for j, (k, i, w) in enumerate(stream):
-        around = words[max(0, j - 2) : j] + words[j + 1 : j + 3]
-        if k in broken and i == last[k]:
-            head, _, rest, hyphen = broken[k]
-            yield k + 1, "broken_word", model.whole(head, rest.strip(EDGE), hyphen, words[max(0, j - 2) : j] + words[j + 2 : j + 4])
-        elif w and not (i == 0 and k in taken):
-            fixed = model.right(w, around)
-            if fixed != w:
-                yield k + 1, "bad_char", fixed
+    page = Page(text, model)
+    yield from ((k + 1, "furniture", "") for k in sorted(page.gone))
+    yield from ((k + 1, "broken_word", w) for k, w in page.whole.items())
+    yield from ((k + 1, "bad_char", w) for (k, _), w in page.right.items())
 
 
 def repaired(text: str, model: ScanModel) -> str:
     """The text in continuous paragraphs, one a line, words whole and corrected, without furniture."""
-    lines = text.split("\n")
-    fixes: dict[int, list[tuple[str, str]]] = {}
-    gone = furniture(lines)
-    broken = {k: (head, nxt, rest, hyphen) for k, head, nxt, rest, hyphen in broken_pairs(lines, gone)}
-    taken = {nxt for _, nxt, _, _ in broken.values()}
-    del fixes
+    page = Page(text, model)
+    lines, gone = page.lines, page.gone
     paragraphs, now = [], []
     cross = False
     for k, line in enumerate(lines):
@@ -360,23 +373,21 @@ def repaired(text: str, model: ScanModel) -> str:
         words = line.split()
         if not words:
             # A blank line at a page break parts nothing if a word or a sentence runs on.
-            if now and not cross and not any(x in broken for x in range(max(0, k - 1), k)):
+            if now and not cross and not any(x in page.broken for x in range(max(0, k - 1), k)):
                 if re.search(r"[.!?:]$", now[-1]) or not (k + 1 < len(lines) and k + 1 in gone):
                     paragraphs.append(" ".join(now))
                     now = []
             continue
         cross = False
         for i, w in enumerate(words):
-            if i == 0 and k in taken:
+            if i == 0 and k in page.taken:
                 continue
             core = w.strip(EDGE)
-            around = [x.strip(EDGE) for x in words[max(0, i - 2) : i] + words[i + 1 : i + 3]]
-            if k in broken and i == len(words) - 1:
-                head, _, rest, hyphen = broken[k]
-                tail = rest[len(rest.rstrip(EDGE)) :]
-                now.append(w[: len(w) - len(w.lstrip(EDGE))] + model.whole(head, rest.strip(EDGE), hyphen, around) + tail)
+            if k in page.broken and i == len(words) - 1:
+                rest = page.broken[k][2]
+                now.append(w[: len(w) - len(w.lstrip(EDGE))] + page.whole[k] + rest[len(rest.rstrip(EDGE)) :])
             else:
-                now.append(w.replace(core, model.right(core, around), 1) if core else w)
+                now.append(w.replace(core, page.right.get((k, i), core), 1) if core else w)
     if now:
         paragraphs.append(" ".join(now))
     return "\n\n".join(paragraphs)
@@ -402,7 +413,7 @@ def learn_model(df: DataFrame, text_col: str) -> ScanModel:
     counts = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).collect()}
     marked = F.concat(F.lit("^^"), F.lower("word"), F.lit("$"))
     grams = (
-        words.where("word rlike '^[\\\\p{L}-]{3,40}$'").select(marked.alias("w"))
+        words.where("word rlike '^[\\\\p{L}-]{3,}$'").select(marked.alias("w"))
         .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("g"))
         .groupBy("g").agg(F.count("*").alias("n")).where("n > 1").collect()
     )

@@ -1,7 +1,7 @@
 import pytest
 
 from regispark.llm import names
-from regispark.llm.names import linked_names, osa, remains, trans_actors
+from regispark.llm.names import damerau, linked_names, remains, trans_actors
 from regispark.llm.parties import Pivots, edits, head_of, read_party, readings
 
 GIVEN = ["Andreas", "Veronika", "Kristjan", "Dmitri"]
@@ -63,12 +63,20 @@ def test_reading():
 
 
 def test_metric():
-    assert osa("metsa", "mesta") == 1 and osa("", "ab") == 2 and osa("a" * 40_000 + "xy", "a" * 40_000 + "yx") == 1 and osa("abcd", "wxyz", 2) == 3 and edits("abc", "abd", 1) == 1 and edits("abc", "xyz", 1) == 2
+    assert damerau("metsa", "mesta") == 1 and damerau("", "ab") == 2 and damerau("a" * 40_000 + "xy", "a" * 40_000 + "yx") == 1 and damerau("abcd", "wxyz", 2) == 3 and edits("abc", "abd", 1) == 1 and edits("abc", "xyz", 1) == 2
     assert remains("abcdefgh") & remains("bacdefgh") and remains("abcd") == {"abcd"}
     long = "".join(chr(97 + (k * k) % 23) for k in range(60))
     assert remains(long) & remains(long[:20] + long[21:40] + "q" + long[40:]) and remains(long[:33]) & remains(long[:32]) and len(remains("x" * 50_000)) < 150
 
 
+def test_metric_holds_the_triangle_inequality():
+    words = ["", "a", "ca", "ac", "abc", "cab", "bca", "acb", "tarmu", "tamru", "tramu", "tarm", "atrmu"]
+    d = {(a, b): damerau(a, b, 9) for a in words for b in words}
+    assert d["ca", "abc"] == 2 and all(d[a, b] == d[b, a] for a in words for b in words)
+    assert all(d[a, c] <= d[a, b] + d[b, c] for a in words for b in words for c in words)
+    assert all(damerau(a, b, 2) == min(3, d[a, b]) for a in words for b in words)
+
+
 def test_actors_keep_their_fetch(spark):
     df = spark.createDataFrame([(1, '{"data":{"doc_trans_actor":"A B"}}', 5), (2, '"{\\"data\\":[{\\"doc_trans_actor\\":\\"C\\"}]}"', 6), (3, None, 7), (4, "{", 8)], "fetch_id bigint, payload string, value int")
     assert sorted((r["fetch_id"], r["value"]) for r in trans_actors(df, ["fetch_id"]).collect()) == [(1, "A B"), (2, "C")]

@@ -67,3 +67,28 @@ def test_recurring_misreadings_are_found_whatever_the_size(spark):
         df = spark.createDataFrame(list(enumerate(rows * times)), "id bigint, contents string")
         got = {(r["word"], r["n"]) for r in sc.scan_findings(df, "id", "contents").groupBy("word").count().withColumnRenamed("count", "n").collect()}
         assert got == {("tuvastati", 6 * times)}
+
+
+def test_vectors_decide(spark):
+    """A misreading nearly as frequent as its word is told by its neighbours alone: the same model without vectors leaves it."""
+    rows = [GOOD] * 60 + ["Nende aastate enne oli pikk ja lai."] * 12 + ["Nende aastate ennc oli pikk ja lai."] * 6
+    model = sc.learn_model(spark.createDataFrame(list(enumerate(rows)), "id bigint, contents string"), "contents")
+    bare = sc.ScanModel(model.counts, sc.Vectors({}, np.zeros((0, sc.DIMENSIONS))), model.triples, model.pairs, model.least)
+    assert list(sc.findings(rows[-1], model)) == [(1, "bad_char", "enne")] and not list(sc.findings(rows[-1], bare))
+
+
+def test_repaired_text_and_findings_agree(spark):
+    text = "Kontrollimisel fuvas-\ntati puudust, neist\no1ulisim puudutab\nhooldust ja taIitus"
+    model = sc.learn_model(corpus(spark), "contents")
+    out = sc.repaired(text, model)
+    assert all(w in out for _, kind, w in sc.findings(text, model) if kind != "furniture")
+
+
+def test_long_lines_words_and_number_columns():
+    model = sc.ScanModel({"sõna": 50, "teine": 40}, sc.Vectors({}, np.zeros((0, sc.DIMENSIONS))), {}, {})
+    assert list(sc.findings("x" * 50_000 + " sõna", model)) == []
+    assert sc.furniture([str(n) for n in range(5000, 7000)]) == set(range(2000))
+    head = "Väga Pika Nimega Riikliku Registri Ja Arhiivi Ning Raamatukogu Ühisosakond"
+    body = "Siin on tekst, mis jätkub ja jätkub kuni rea lõpuni välja ning veel kaugemale"
+    lines = [head, body, body, "1 / 2", head, body, body, "2 / 2"]
+    assert {0, 3, 4, 7} <= sc.furniture(lines)
