@@ -128,6 +128,23 @@ def file_name(name: Column, fallback: Column) -> Column:
     return F.when(clean.isin("", ".", "..") | clean.isNull(), fallback).otherwise(clean)
 
 
+def header_file_name(header: Column, url: Column) -> Column:
+    """The file name of a Content-Disposition header (the extended form first), else the last part of the link, decoded."""
+    extended = F.regexp_extract(header, r"(?i)filename\*\s*=\s*[^']*'[^']*'([^;\r\n]+)", 1)
+    quoted = F.regexp_extract(header, r"(?i)filename\s*=\s*\"([^\"\r\n]+)\"", 1)
+    bare = F.regexp_extract(header, r"(?i)filename\s*=\s*'?([^;'\"\r\n]+)'?", 1)
+    name = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (extended, quoted, bare)])
+    return F.coalesce(F.try_url_decode(name), name, F.try_url_decode(last_segment(url)), last_segment(url))
+
+
+IMAGES = ["jpg", "jpeg", "png", "gif", "bmp", "webp"]  # fixed values
+
+
+def file_class(name: Column) -> Column:
+    """How a file is shown: image, sheet or other, by its extension."""
+    return F.when(extension(name).isin(IMAGES), "image").when(extension(name) == "xlsx", "sheet").otherwise("other")
+
+
 def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regispark.operators.fulltext import Index, match_docs
+from regispark.operators.fulltext import Index, match_all
 
 # The phrase of a legal basis, with its point, and the phrase that rules a text out.
 BASIS_QUERY = '"Alus: AvTS § 35 lg 1 p {point}" NOT "Struktuurüksus on tunnistatud"'
@@ -28,12 +28,7 @@ def to_recheck(docs: DataFrame) -> DataFrame:
 
 def candidates(index: Index, points: range = POINTS, query: str = BASIS_QUERY) -> DataFrame:
     """(id, query): documents whose text holds a legal basis for a restriction, one search for each point."""
-    out = None
-    for p in points:
-        q = query.format(point=p)
-        found = match_docs(index, q).select(F.col("doc_id").alias("id"), F.lit(q).alias("query"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return match_all(index, [query.format(point=p) for p in points]).withColumnRenamed("doc_id", "id")
 
 
 def report(index: Index, docs: DataFrame, orgs: DataFrame, seen: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ with the depth. Files that hang below a missing or cyclic parent are reached fro
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -76,6 +79,33 @@ def summary_text(files: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.sort_array(F.collect_list(text)).alias("p")).select("document_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n\n\n").alias("text"))
 
 
+def rows_without(rows: DataFrame, files: DataFrame, roots: DataFrame, file_col: str = "file_id") -> DataFrame:
+    """Rows that belong to files (signatures, stored blobs) after a recursive deletion of these."""
+    gone = descendants(files, roots).withColumnRenamed("id", file_col)
+    return rows.join(gone, file_col, "left_anti").select(*rows.columns)
+
+
+def with_signatures(files: DataFrame, signatures: DataFrame, bases: DataFrame) -> DataFrame:
+    """Files with their signatures and the legal bases of their document, as lists; empty where there are none."""
+    signed = signatures.groupBy(F.col("file_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("name", "pno", "signing_time"))).alias("signatures"))
+    based = bases.where("basis is not null").groupBy("document_id").agg(F.sort_array(F.collect_set("basis")).alias("bases"))
+    out = files.join(signed, "id", "left").join(based, "document_id", "left")
+    return out.select(*files.columns, F.coalesce("signatures", F.array()).alias("signatures"), F.coalesce("bases", F.array()).alias("bases"))
+
+
+def summarised(texts: DataFrame, docs: DataFrame, summarise: Callable[[list[str]], list[tuple[str, str]]]) -> DataFrame:
+    """(document_id, ai_title, ai_summary) of the documents that may be summarised. `summarise` takes a batch of texts and
+    gives (title, summary) for each; it runs in the executors and is all that calls a model."""
+    fit = texts.join(may_summarise(texts, docs), "document_id", "left_semi")
+
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = summarise(list(b["text"]))
+            yield pd.DataFrame({"document_id": b["document_id"], "ai_title": [t for t, _ in got], "ai_summary": [s for _, s in got]})
+
+    return fit.select("document_id", "text").mapInPandas(ask, "document_id bigint, ai_title string, ai_summary string")
+
+
 def may_summarise(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """(document_id): texts of more than 100 bytes and at most 16000 characters, of documents not summarised before."""
     done = F.lit(False)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from regispark.functions.text import fold_table, tokens
+from regispark.session import cut_lineage
 
 COLUMNS = ["title", "responsible", "series", "to_party", "doc_function", "original_id", "reference", "file_contents"]
 K1, B = 1.2, 0.75
@@ -25,17 +26,57 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class Index:
-    """postings: term, doc_id, col, pos (from 0). doc_stats: doc_id, length (tokens in all columns)."""
+    """postings: term, doc_id, col, pos (from 0). doc_stats: doc_id, length (tokens in all columns).
+
+    buckets: how many parts a written index has (column bucket of postings). source: documents, columns and id of an
+    index that is not built: a lookup then makes the postings of the query's words only.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
-
-
-def postings_of(docs: DataFrame, columns: list[str] | None = None, id_col: str = "id") -> DataFrame:
+    buckets: int | None = None
+    source: tuple[DataFrame, list[str] | None, str] | None = None
+
+    def lookup(self, phrases: list[Phrase]) -> DataFrame:
+        """The postings of the words of some phrases. Of a written index only the buckets of these words are read,
+        unless one is a prefix."""
+        words = {w for p in phrases for w in p.words[: -1 if p.prefix else None]}
+        prefixes = {p.words[-1] for p in phrases if p.prefix and p.words}
+        if self.source:
+            docs, columns, id_col = self.source
+            return postings_of(docs, columns, id_col, words, prefixes)
+        fits: Column = F.col("term").isin(sorted(words))
+        for p in sorted(prefixes):
+            fits = fits | F.col("term").startswith(p)
+        rows = self.postings.where(fits)
+        if self.buckets and not prefixes:
+            at: Column = F.lit(False)
+            for w in sorted(words):
+                at = at | (F.col("bucket") == bucket_of(F.lit(w), self.buckets))
+            rows = rows.where(at)
+        return rows.select("term", "doc_id", "col", "pos")
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def postings_of(docs: DataFrame, columns: list[str] | None = None, id_col: str = "id", words: set[str] | None = None, prefixes: set[str] | None = None) -> DataFrame:
+    """term, doc_id, col, pos of all documents; with words or prefixes, of these terms alone."""
     cols = [c for c in columns or COLUMNS if c in docs.columns]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("text")) for c in cols]))
     rows = docs.select(F.col(id_col).alias("doc_id"), each.alias("c")).where("c.text is not null")
-    return rows.select("doc_id", "c.col", F.posexplode(tokens(F.col("c.text"))).alias("pos", "term")).select("term", "doc_id", "col", "pos")
+    if words is None:
+        return rows.select("doc_id", "c.col", F.posexplode(tokens(F.col("c.text"))).alias("pos", "term")).select("term", "doc_id", "col", "pos")
+
+    def wanted(t: Column) -> Column:
+        out = t.isin(sorted(words))
+        for p in sorted(prefixes or ()):
+            out = out | t.startswith(p)
+        return out
+
+    placed = F.transform(tokens(F.col("c.text")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return rows.select("doc_id", "c.col", F.explode(F.filter(placed, lambda x: wanted(x["term"]))).alias("x")).select("x.term", "doc_id", "col", "x.pos")
 
 
 def stats_of(postings: DataFrame) -> DataFrame:
@@ -48,15 +89,28 @@ def build_index(docs: DataFrame, columns: list[str] | None = None, id_col: str =
 
 
 def write_index(index: Index, path: str, buckets: int = 64) -> None:
-    """Persist an index: postings partitioned by a hash of the term and sorted by it, so that a lookup reads one
-    partition and skips by the term's statistics inside it."""
-    p = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    p.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Persist an index: postings partitioned by a hash of the term and sorted by it, so that a lookup reads the
+    buckets of its words and skips by the terms' statistics inside them. A bucket is written by several tasks, parted by
+    document, so that a term of very many documents is no single file."""
+    p = index.postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    p.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    index.doc_stats.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
 
 
 def read_index(spark, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/doc_stats"))
+    """A written index; how many buckets it has is stored with it."""
+    buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
+    schema = "term string, doc_id bigint, col string, pos int, bucket int"
+    return Index(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), buckets)
+
+
+def index_over(docs: DataFrame, columns: list[str] | None = None, id_col: str = "id") -> Index:
+    """An index that is never built as a whole: each lookup is one scan that keeps the places of the query's words."""
+    cols = [c for c in columns or COLUMNS if c in docs.columns]
+    length = sum((F.coalesce(F.size(tokens(F.col(c).cast("string"))), F.lit(0)) for c in cols), F.lit(0)).cast("bigint")
+    stats = docs.select(F.col(id_col).alias("doc_id"), length.alias("length")).where("length > 0")
+    return Index(postings_of(docs, columns, id_col), stats, source=(docs, columns, id_col))
 
 
 def refreshed(index: Index, changed: DataFrame, columns: list[str] | None = None, id_col: str = "id", gone: DataFrame | None = None) -> Index:
@@ -64,7 +118,8 @@ def refreshed(index: Index, changed: DataFrame, columns: list[str] | None = None
     ids = changed.select(F.col(id_col).alias("doc_id"))
     out = ids if gone is None else ids.unionByName(gone.select(F.col(id_col).alias("doc_id")))
     fresh = postings_of(changed, columns, id_col)
-    return Index(index.postings.join(out.distinct(), "doc_id", "left_anti").select("term", "doc_id", "col", "pos").unionByName(fresh), index.doc_stats.join(out.distinct(), "doc_id", "left_anti").unionByName(stats_of(fresh)))
+    kept = index.postings.join(out.distinct(), "doc_id", "left_anti")
+    return Index(kept.select("term", "doc_id", "col", "pos").unionByName(fresh), index.doc_stats.join(out.distinct(), "doc_id", "left_anti").unionByName(stats_of(fresh)))
 
 
 # --- the query language -------------------------------------------------------------------------------------------
@@ -312,15 +367,27 @@ def _docs(postings: DataFrame, node) -> DataFrame:
 
 def match_docs(index: Index, query: str, columns: list[str] | None = None) -> DataFrame:
     """doc_id of the documents that match."""
-    return _docs(index.postings, parse_query(query, columns))
+    node = parse_query(query, columns)
+    return _docs(index.lookup(_leaves(node)), node)
+
+
+def match_all(index: Index, queries: list[str], columns: list[str] | None = None) -> DataFrame:
+    """(doc_id, query) of the documents that match each of several queries; their words are looked up in one scan."""
+    nodes = {q: parse_query(q, columns) for q in queries}
+    postings = cut_lineage(index.lookup([p for n in nodes.values() for p in _leaves(n)]))
+    out = None
+    for q, node in nodes.items():
+        found = _docs(postings, node).select("doc_id", F.lit(q).alias("query"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def bm25(index: Index, phrases: list[Phrase]) -> DataFrame:
     """doc_id, rank: the negated sum over phrases, so that lower is better."""
     n_docs = index.doc_stats.agg(F.count("*").alias("big_n"), F.avg("length").alias("avgdl"))
-    every = None
+    every, postings = None, index.lookup(phrases)
     for k, ph in enumerate(phrases):
-        tf = _places(index.postings, ph).groupBy("doc_id").agg(F.count("*").alias("tf")).select("doc_id", "tf", F.lit(k).alias("k"))
+        tf = _places(postings, ph).groupBy("doc_id").agg(F.count("*").alias("tf")).select("doc_id", "tf", F.lit(k).alias("k"))
         every = tf if every is None else every.unionByName(tf)
     df = every.groupBy("k").agg(F.count("*").alias("df"))
     scored = every.join(F.broadcast(df), "k").join(index.doc_stats, "doc_id").join(F.broadcast(n_docs), F.lit(True))
@@ -332,4 +399,4 @@ def bm25(index: Index, phrases: list[Phrase]) -> DataFrame:
 def match(index: Index, query: str, columns: list[str] | None = None) -> DataFrame:
     """doc_id and rank of the documents that match."""
     node = parse_query(query, columns)
-    return _docs(index.postings, node).join(bm25(index, _leaves(node)), "doc_id", "left")
+    return _docs(index.lookup(_leaves(node)), node).join(bm25(index, _leaves(node)), "doc_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regispark.functions.text import in_month, in_year, month_name, month_text, year_text
+from regispark.functions.text import slug as slugged
 from regispark.operators.search import RESTRICTED
 
 
@@ -64,14 +65,47 @@ def latest(docs: DataFrame, orgs: DataFrame) -> DataFrame:
     return own.unionByName(by.agg(F.max("lastmod").alias("lastmod")).select(F.lit(None).cast("string").alias("slug"), "lastmod"))
 
 
+def _iso(col: str):
+    return F.date_format(F.col(col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+# Pages besides the archive, with their priority; the last did not change since.
+FIXED_PAGES = [("", 1.0, "hourly", None), ("/arhiiv", 1.0, None, None), ("/projektist", 1.0, None, "2024-03-27")]
+
+
+def sitemap_index(docs: DataFrame, orgs: DataFrame, base: str) -> DataFrame:
+    """(loc, lastmod) of the sitemap of pages and of one sitemap for each organisation and year."""
+    root = base.rstrip("/")
+    parts = freshness(docs, orgs).where("month is null").select(F.concat(F.lit(f"{root}/sitemaps/"), "slug", F.lit("/"), "year", F.lit(".xml")).alias("loc"), _iso("lastmod").alias("lastmod"))
+    return latest(docs, orgs).where("slug is null").select(F.lit(f"{root}/sitemap-pages.xml").alias("loc"), _iso("lastmod").alias("lastmod")).unionByName(parts)
+
+
+def sitemap_documents(docs: DataFrame, orgs: DataFrame, slug: str, year: int, base: str) -> DataFrame:
+    """(loc, lastmod, changefreq, priority) of the documents of one organisation and year."""
+    rows = of_organisation(docs, orgs, slug).where(in_year(F.col("registration_date"), year))
+    loc = F.concat_ws("/", F.lit(base.rstrip("/")), F.lit("dokumendid"), F.col("id").cast("string"), slugged(F.col("title")))
+    return rows.select(loc.alias("loc"), _iso("updated_at").alias("lastmod"), F.lit(None).cast("string").alias("changefreq"), F.lit(0.6).alias("priority"))
+
+
 def sitemap_urls(docs: DataFrame, orgs: DataFrame, base: str) -> DataFrame:
-    """(loc, lastmod, changefreq, priority) of all archive pages."""
-    stamp = F.date_format(F.col("lastmod").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    path = F.concat_ws("/", F.lit(base.rstrip("/")), F.lit("arhiiv"), "slug", "year", "month")
+    """(loc, lastmod, changefreq, priority) of the fixed and all archive pages; only the first and the organisations have a priority."""
+    root = base.rstrip("/")
+    path = F.concat_ws("/", F.lit(root), F.lit("arhiiv"), "slug", "year", "month")
     pages = freshness(docs, orgs).unionByName(latest(docs, orgs).where("slug is not null").select("slug", F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("month"), "lastmod"))
-    return pages.select(path.alias("loc"), stamp.alias("lastmod"), F.when(F.col("month").isNotNull(), "weekly").otherwise("daily").alias("changefreq"), F.when(F.col("month").isNotNull(), 0.5).when(F.col("year").isNotNull(), 0.6).otherwise(0.8).alias("priority"))
+    archive = pages.select(path.alias("loc"), _iso("lastmod").alias("lastmod"), F.lit(None).cast("string").alias("changefreq"), F.when(F.col("year").isNull(), 0.8).alias("priority"))
+    of_all = docs.agg(F.max("updated_at").alias("lastmod"))
+    fixed = F.explode(F.array(*[F.struct(F.lit(root + p).alias("loc"), F.lit(c).cast("string").alias("changefreq"), F.lit(w).alias("priority"), F.lit(d).cast("timestamp").alias("since")) for p, w, c, d in FIXED_PAGES]))
+    first = of_all.select("lastmod", fixed.alias("p")).withColumn("lastmod", F.coalesce("p.since", F.col("lastmod").cast("timestamp")))
+    return first.select("p.loc", _iso("lastmod").alias("lastmod"), "p.changefreq", "p.priority").unionByName(archive)
+
+
+NAMESPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
 def write_sitemap(urls: DataFrame, path: str) -> None:
-    """Sitemap files as XML, one a partition."""
-    urls.write.mode("overwrite").format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    """Sitemap files as XML, one a partition; nulls leave their element out."""
+    urls.write.mode("overwrite").format("xml").option("rootTag", f"urlset {NAMESPACE}").option("rowTag", "url").save(path)
+
+
+def write_sitemap_index(parts: DataFrame, path: str) -> None:
+    parts.write.mode("overwrite").format("xml").option("rootTag", f"sitemapindex {NAMESPACE}").option("rowTag", "sitemap").save(path)

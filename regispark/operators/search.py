@@ -109,6 +109,30 @@ def json_page(items: DataFrame) -> DataFrame:
     return items.select("id", F.to_json(F.struct(*[F.col(c) for c in items.columns])).alias("json"))
 
 
+@dataclass(frozen=True)
+class Found:
+    """The answer to a point lookup: status 200 with the row, 404 if there is none, 451 if its registry hides it."""
+
+    status: int
+    row: dict | None = None
+
+
+def point_lookup(docs: DataFrame, orgs: DataFrame, files: DataFrame, doc_id: int, admin: bool = False, base_url: str = "") -> Found:
+    """One document with its files; the id reaches the scans of documents and files."""
+    own = docs.where(F.col("id") == doc_id)
+    head = own.select("last_visibility").first()
+    if head is None:
+        return Found(404)
+    if head["last_visibility"] in HIDDEN and not admin:
+        return Found(451)
+    return Found(200, details(own, orgs, files.where(F.col("document_id") == doc_id), base_url).first().asDict(recursive=True))
+
+
+def nothing(docs: DataFrame) -> DataFrame:
+    """The empty answer to a text query that does not parse, with the columns of `hits`."""
+    return docs.where("false").withColumn("rank", F.lit(None).cast("double"))
+
+
 def visible(docs: DataFrame) -> DataFrame:
     """Documents that may be shown; one never audited is visible."""
     return docs.where(~F.coalesce(F.col("last_visibility").isin(HIDDEN), F.lit(False)))

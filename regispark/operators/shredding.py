@@ -38,9 +38,8 @@ ROOT = "record"
 
 def _decoded(value: object) -> object:
     """A container written as a JSON string becomes that container; anything else stays."""
-    for _ in range(3):
-        if not (isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"')):
-            return value
+    # Each decoding makes the text shorter, so this ends.
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):

@@ -13,9 +13,10 @@ from regispark.functions.text import bases
 
 
 def last_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row for each key, the last in order; rows with a null key stay."""
+    """One row for each key, the last in order; rows with a null key stay, and in no window."""
     top = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return rows.withColumn("__r", F.row_number().over(top)).where(F.col(key).isNull() | (F.col("__r") == 1)).drop("__r")
+    last = rows.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(top)).where("__r = 1").drop("__r")
+    return last.unionByName(rows.where(F.col(key).isNull()))
 
 
 def new_only(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -31,10 +32,18 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str, order: list[str])
 
 
 def merge_into(incoming: DataFrame, table: str, key: str) -> None:
-    """MERGE on a table format that has it."""
-    from pyspark.sql.functions import col
+    """MERGE on a table format that has it; `incoming` holds each key once, as `last_by` gives it."""
+    on = F.col(f"{table}.{key}") == F.col(f"source.{key}")
+    incoming.alias("source").mergeInto(table, on).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
-    incoming.mergeInto(table, col(f"{table}.{key}") == col(f"source.{key}")).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+
+def with_children(stored: DataFrame, incoming: DataFrame, children: DataFrame, key: str = "url") -> DataFrame:
+    """Child rows (files, bases) of an upsert: those of documents that came again are replaced, the others stay.
+
+    stored, children: key and the children's columns; incoming: key.
+    """
+    again = incoming.select(key).where(F.col(key).isNotNull()).distinct()
+    return stored.join(again, key, "left_anti").select(*stored.columns).unionByName(children.join(again, key, "left_semi").select(*stored.columns))
 
 
 def base_rows(docs: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:

@@ -50,13 +50,21 @@ def p1_proceeders(spark: SparkSession, folder: str) -> DataFrame:
     return shred(df, "payload", plan, "doc_proceeder", keys=["fetch_id"])
 
 
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of file objects with all their fields, also of those without id, each with what holds it."""
+    df, plan = _records(spark, folder)
+    if FILE not in plan.tables:
+        return spark.createDataFrame([], "fetch_id bigint, _key string, _parent_table string, _parent_key string, _held_by string")
+    return shred(df, "payload", plan, FILE, keys=["fetch_id"], natural_key="id")
+
+
 def p1_validity(spark: SparkSession, folder: str) -> DataFrame:
     """How many payloads parse, by HTTP status."""
     df = valid_records(read_table(spark, folder, "rmk_records"), "payload")
     return df.groupBy("http_status", "is_valid").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_proceeders": p1_proceeders, "p1_validity": p1_validity}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_proceeders": p1_proceeders, "p1_files": p1_files, "p1_validity": p1_validity}
 
 ORACLES = {
     "p1_validity": """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,6 +18,8 @@ SEMANTIC_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,14 +41,26 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder is made. A lost executor then costs no more than re-reading files.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine (local) gets a
+    temporary folder; on a cluster other executors could not read that, so it is an error there. A lost executor costs no
+    more than re-reading files.
     """
-    sc = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for data that outlives a stage."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="regispark-checkpoint-")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="regispark-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def parallelism(df: DataFrame) -> int:
@@ -61,12 +77,14 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="regispark-package-"), "regispark.zip")
+    folder = tempfile.mkdtemp(prefix="regispark-package-")  # read by the driver alone
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "regispark.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for below, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
-                    at = os.path.join(folder, n)
+                    at = os.path.join(below, n)
                     z.write(at, os.path.relpath(at, os.path.dirname(root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)

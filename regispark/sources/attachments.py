@@ -1,8 +1,9 @@
 """Attachments into a tree of files with text, and signatures of signed containers.
 
-Formats that the standard library reads are built in; others (PDF, MSG, DOC) are plugged in by `extractors`, a dict
-from extension to a function of bytes that returns (text, html) or, for containers, [(name, bytes), ...]. Without
-one the file keeps its row, with null contents, as if the extraction had failed.
+Formats that the standard library reads are built in, mail files and PDF among them. Others (DOC), or better readers, are
+plugged in by `extractors`, a dict from extension to a function of bytes that returns (text, html) or, for containers,
+[(name, bytes), ...]. Without one the file keeps its row, with null contents, as if the extraction had failed. Containers
+are opened to any depth and files of any size are read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import email
 import email.policy
 import hashlib
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -22,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regispark.sources.dom import html_to_text, parse_html
+from regispark.sources.msg import read_msg
+from regispark.sources.pdf import pdf_text
 
 # Entries of containers that are no files of their own.
 SKIPPED = {"mimetype", "manifest.xml", "message.json", "message.html", "header.txt"}
 FILES = "id bigint, parent_id bigint, path string, name string, storage_path string, parsed_with string, contents string, html string, depth int"
 SIGNATURES = "file_id bigint, name string, pno string, signing_time string"
 PARSED_WITH = {"asice": "AsiceParser", "bdoc": "AsiceParser", "zip": "AsiceParser", "eml": "EmlParser", "rtf": "RtfParser", "docx": "DocxParser", "doc": "DocxParser", "txt": "TxtParser", "pdf": "PdfParser", "msg": "MsgParser"}
-MOST_DEPTH = 20
 Extractors = dict[str, Callable[[bytes], object]]
 
 
@@ -188,8 +191,9 @@ def node_id(path: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
-def unpack(path: str, raw: bytes, extractors: Extractors | None = None) -> tuple[list[tuple], list[tuple]]:
-    """(file rows, signature rows) of one stored file and all it holds."""
+def unpack(path: str, raw: bytes, extractors: Extractors | None = None, replacing: bool = False) -> tuple[list[tuple], list[tuple]]:
+    """(file rows, signature rows) of one stored file and all it holds. A file that replaces another keeps its row even if it is
+    XML, which is no file of its own elsewhere."""
     files, signed = [], []
     todo: list[tuple[str, bytes, int | None, int]] = [(path, raw, None, 0)]
     while todo:
@@ -198,7 +202,7 @@ def unpack(path: str, raw: bytes, extractors: Extractors | None = None) -> tuple
         if name in SKIPPED:
             continue
         ext = extension(name)
-        if ext == "xml":
+        if ext == "xml" and not (replacing and parent is None):
             # Other XML has no row of its own.
             if parent is not None and re.search(r"signatures\d+\.xml$", name):
                 signed += [(parent, *s) for s in signatures(data)]
@@ -222,22 +226,26 @@ def unpack(path: str, raw: bytes, extractors: Extractors | None = None) -> tuple
                 html = "<br />\n".join(text.split("\n"))
             elif ext == "txt":
                 text = decoded(data)
-            elif ext in ("pdf", "msg"):
-                html = ""
+            elif ext == "msg":
+                plain, page, inner = read_msg(data)
+                html = html_body(page) if page is not None else "" if plain is None else re.sub(r"(\r\n|\n|\r)", "<br />\n", plain)
+                text = html_to_text(html) if html else None
+            elif ext == "pdf":
+                text = pdf_text(data)
+                html = "<br />\n".join(text.split("\n")) if text else ""
         except Exception:  # a damaged attachment keeps its row, without text
             text, html, inner = None, "", []
         files.append((own, parent, at, name, f"{hashlib.sha256(data).hexdigest()[:32]}/{name}", PARSED_WITH.get(ext, "FileParser"), text, html, depth))
-        if depth < MOST_DEPTH:
-            todo += [(f"{at}/{n}", d, own, depth + 1) for n, d in reversed(inner)]
+        todo += [(f"{at}/{n}", d, own, depth + 1) for n, d in reversed(inner)]
     return files, signed
 
 
-def parse_files(stored: DataFrame, extractors: Extractors | None = None) -> DataFrame:
+def parse_files(stored: DataFrame, extractors: Extractors | None = None, replacing: bool = False) -> DataFrame:
     """File rows of stored files (path, content), as the binaryFile source gives them."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [r for p, c in zip(b["path"], b["content"]) if c is not None for r in unpack(p, bytes(c), extractors)[0]]
+            out = [r for p, c in zip(b["path"], b["content"]) if c is not None for r in unpack(p, bytes(c), extractors, replacing)[0]]
             # As objects: a column of ids and nulls would become floating point and lose digits.
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FILES.split(", ")], dtype=object)
 
@@ -253,9 +261,43 @@ def parse_signatures(stored: DataFrame) -> DataFrame:
     return stored.select("path", "content").mapInPandas(rows, SIGNATURES)
 
 
-def stored_files(spark, folder: str, most_bytes: int = 50_000_000) -> DataFrame:
-    """Files below a folder as (path, content); larger ones are refused by an upload and not read here."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= most_bytes).select("path", "content")
+#: What an upload may hold; files found in folders have no limit.
+UPLOAD_BYTES = 50_000_000
+
+
+def stored_files(spark, folder: str, most_bytes: int | None = None) -> DataFrame:
+    """Files below a folder as (path, content); with most_bytes (`UPLOAD_BYTES` for uploads) only those no larger."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return (files if most_bytes is None else files.where(F.col("length") <= most_bytes)).select("path", "content")
+
+
+def refused_uploads(spark, folder: str, most_bytes: int = UPLOAD_BYTES) -> DataFrame:
+    """(path, length) of the files an upload refuses."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") > most_bytes).select("path", "length")
+
+
+def stored_blobs(stored: DataFrame, root: str) -> DataFrame:
+    """Write each stored file under its key, the hash of its bytes and its name, below `root`; (path, storage_path, size).
+
+    Keys depend on the bytes alone, so that a task that runs twice writes the same file. `root` is a folder that all
+    executors reach.
+    """
+
+    def put(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                key = f"{hashlib.sha256(bytes(content)).hexdigest()[:32]}/{path.rsplit('/', 1)[-1]}"
+                at = os.path.join(root, key)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{at}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(bytes(content))
+                os.replace(part, at)
+                rows.append((path, key, len(content)))
+            yield pd.DataFrame(rows, columns=["path", "storage_path", "size"])
+
+    return stored.where("content is not null").select("path", "content").mapInPandas(put, "path string, storage_path string, size bigint")
 
 
 __all__ = ["parse_files", "parse_signatures", "stored_files", "unpack", "parse_html"]

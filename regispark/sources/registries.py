@@ -254,6 +254,21 @@ def organisations_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(uri != "").select(uri.alias("registry_base_uri"), last_segment(uri).alias("slug"), F.lit("delta-adr").alias("fetcher_type")).dropDuplicates(["registry_base_uri"])
 
 
+# The sources that are no form registries, with the type of their answers.
+OTHER_TYPES = ["rmk", "tallinn-atp", "riigikantselei-dhs", "riigikogu"]
+
+
+def seeded_organisations(lines: DataFrame, others: list[tuple[str, str, str, str]], col: str = "value") -> DataFrame:
+    """Organisations of the text list and the others, given as (name, slug, registry_base_uri, fetcher_type); an address
+    occurs once, that of the others first."""
+    wrong = [o for o in others if o[3] not in OTHER_TYPES]
+    if wrong:
+        raise ValueError(f"unknown fetcher type: {wrong[0][3]}")
+    own = lines.sparkSession.createDataFrame(others, "name string, slug string, registry_base_uri string, fetcher_type string")
+    listed = organisations_from_lines(lines, col).withColumn("name", F.col("slug")).join(own.select("registry_base_uri"), "registry_base_uri", "left_anti")
+    return own.unionByName(listed.select("name", "slug", "registry_base_uri", "fetcher_type"))
+
+
 def namespace_candidates(spark: SparkSession, letters: str = "abcdefghijklmnopqrstuvwxyz", length: int = 4) -> DataFrame:
     """All words of different letters, numbered and decoded, so that no table is crossed with itself."""
     n = len(letters)
