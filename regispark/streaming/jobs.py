@@ -18,15 +18,47 @@ def poll_dates(orgs: DataFrame, last: str, days: int = 7) -> DataFrame:
 
 
 def before_cutoff(probes: DataFrame, by: str, order: str, missed: str, most: int) -> DataFrame:
-    """Probes up to the end of the first run of `most` misses in a row, in each group.
+    """Probes up to the end of the first run of `most` misses in a row, in each group; null groups are one group.
 
-    A run is told by the number of hits before it; the groups are enumerations of one source each.
+    The groups are enumerations of one source each and may hold most rows, so they are cut into ranges of `order`: each range
+    tells how many misses it begins and ends with and where a run inside it is complete, and only these few rows are
+    put in sequence. `order` is a whole number, each once in a group.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    rows = probes.withColumn("__hits", F.sum(F.when(F.col(missed), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__run", F.when(F.col(missed), F.row_number().over(Window.partitionBy(by, "__hits", missed).orderBy(order))).otherwise(0))
-    over = F.max(F.when(F.col("__run") >= most, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__over", F.coalesce(over, F.lit(0))).where("__over = 0").drop("__hits", "__run", "__over")
+    rows = probes.select(F.col(by).alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.col(missed), F.lit(False)).alias("m")).where("o is not null")
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for each stretch of a group: first order, misses at the beginning with the place of the first `most` of
+        them, whether it is misses only, misses at the end, and where the first run after a hit is complete."""
+        out: list[list] = []
+        now: list | None = None
+        for b in batches:
+            for g, o, m in zip(b["g"], b["o"], b["m"]):
+                if now is None or (g != now[0] and not (pd.isna(g) and pd.isna(now[0]))):
+                    now = [g, o, [], True, 0, None]
+                    out.append(now)
+                if m:
+                    now[4] += 1
+                    if now[3] and len(now[2]) < most:
+                        now[2].append(o)
+                    if not now[3] and now[5] is None and now[4] == most:
+                        now[5] = o
+                else:
+                    now[3], now[4] = False, 0
+        yield pd.DataFrame(out, columns=["g", "first", "lead", "only", "tail", "inside"], dtype=object)
+
+    kind = rows.schema["g"].dataType.simpleString()
+    parts = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o").mapInPandas(ranges, f"g {kind}, first bigint, lead array<bigint>, only boolean, tail bigint, inside bigint")
+    run = Window.partitionBy("g").orderBy("first")
+    # Misses that reach into a range: those at the end of the last range that is not misses only, and all since.
+    parts = parts.withColumn("block", F.sum(F.when(F.col("only"), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("block", F.coalesce("block", F.lit(0)))
+    before = F.coalesce(F.sum("tail").over(Window.partitionBy("g", "block").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = Window.partitionBy("g").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    hit_tail = F.coalesce(F.last(F.when(~F.col("only"), F.col("tail")), ignorenulls=True).over(last), F.lit(0))
+    parts = parts.withColumn("carried", before + hit_tail)
+    need = F.greatest(F.lit(most) - F.col("carried"), F.lit(1)).cast("int")
+    cuts = parts.select("g", F.coalesce(F.when(F.size("lead") >= need, F.try_element_at("lead", need)), F.col("inside")).alias("cut")).where("cut is not null").groupBy(F.col("g").alias("__g")).agg(F.min("cut").alias("__cut"))
+    return probes.join(cuts, probes[by].eqNullSafe(cuts["__g"]), "left").where(F.col("__cut").isNull() | (F.col(order) <= F.col("__cut"))).select(*probes.columns)
 
 
 def capped_listing(rows: DataFrame, most: int = 100) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,23 @@ def test_cutoff(spark, rows):
     assert rows(jobs.before_cutoff(p, "g", "k", "missed", 2).select("g", "k")) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 0), ("b", 1)]
 
 
+def test_cutoff_over_ranges(spark, rows):
+    """One group holds most rows and is cut into several ranges; runs of misses cross them."""
+    rnd = random.Random(3)
+    for most, share in ((1, 0.2), (3, 0.6), (7, 0.8), (40, 0.9)):
+        probes = [(g, k, rnd.random() < share) for g, n in (("a", 400), ("b", 30), (None, 60), ("c", 1)) for k in range(n)]
+        want, run, over = [], {}, set()
+        for g, k, m in probes:
+            if g not in over:
+                want.append((g, k, "x"))
+                run[g] = run.get(g, 0) + 1 if m else 0
+                if run[g] >= most:
+                    over.add(g)
+        df = spark.createDataFrame([(g, k, m, "x") for g, k, m in probes], "g string, k int, missed boolean, cut string").repartition(8)
+        assert rows(jobs.before_cutoff(df, "g", "k", "missed", most).select("g", "k", "cut")) == sorted(want, key=repr)
+    assert jobs.before_cutoff(df.limit(0), "g", "k", "missed", 2).count() == 0
+
+
 def test_first_hit_windows(spark):
     h = spark.createDataFrame([("x", at(s)) for s in (0, 1, 2, 9, 10, 11)] + [("y", at(5)), (None, at(1)), ("x", None)], "ip string, ts timestamp")
     got = [(r["k"], r["allowed"]) for r in jobs.first_hit_limits(h, "ip", "ts", 10, 2).orderBy("k", "t").collect()]
