@@ -145,7 +145,7 @@ def reads_well(root: str, usual: set[str]) -> bool:
 
 def usual_triples(nodes: DataFrame) -> set[str]:
     """Triples of letters that many different rare words share. Bounded by the alphabet, not by the data."""
-    roots = nodes.where("rows > 0").select("root").distinct().where("root rlike '^[a-z]{5,40}$'")
+    roots = nodes.where("rows > 0").select("root").distinct().where("root rlike '^[a-z]{5,}$'")
     least = max(3, USUAL_SHARE * roots.count())
     w = F.concat(F.lit("^"), F.col("root"), F.lit("$"))
     triples = roots.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))).alias("t"))
