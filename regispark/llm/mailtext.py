@@ -294,8 +294,16 @@ def reduced(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """(id, new_text) of every body that is not null: its newly written lines, in order; empty where there are none."""
     bodies = df.select(F.col(id_col).alias("id"), F.col(body_col).cast("string").alias("body")).where("body is not null")
     lines = new_text_lines(bodies, "id", "body").groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("at"))
-    text = F.array_join(F.transform("at", lambda i: F.regexp_replace(F.element_at(F.split("body", "\n", -1), i), "\r$", "")), "\n")
-    return bodies.join(lines, bodies["id"].eqNullSafe(lines["id"]), "left").select(bodies["id"], F.coalesce(text, F.lit("")).alias("new_text"))
+
+    @F.pandas_udf("string")
+    def kept(body: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for text, numbers in zip(body, at):
+            split = text.split("\n")
+            out.append("" if numbers is None else "\n".join(split[k - 1].rstrip("\r") for k in numbers))
+        return pd.Series(out, dtype=object)
+
+    return bodies.join(lines, bodies["id"].eqNullSafe(lines["id"]), "left").select(bodies["id"], kept("body", "at").alias("new_text"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
