@@ -24,6 +24,7 @@ repeated values count as attestation; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -147,9 +148,16 @@ def usual_triples(nodes: DataFrame) -> set[str]:
     """Triples of letters that many different rare words share. Bounded by the alphabet, not by the data."""
     roots = nodes.where("rows > 0").select("root").distinct().where("root rlike '^[a-z]{5,}$'")
     least = max(3, USUAL_SHARE * roots.count())
-    w = F.concat(F.lit("^"), F.col("root"), F.lit("$"))
-    triples = roots.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))).alias("t"))
-    return {r["t"] for r in triples.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+
+    def triples(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for b in batches:
+            for root in b["root"]:
+                w = f"^{root}$"
+                n.update(w[i : i + 3] for i in range(len(w) - 2))
+        yield pd.DataFrame(list(n.items()), columns=["t", "n"])
+
+    return {r["t"] for r in roots.mapInPandas(triples, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
 
 
 def linked_names(values: DataFrame) -> DataFrame:

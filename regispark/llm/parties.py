@@ -35,7 +35,7 @@ _TAIL = re.compile(
     r"|[,;]\s*kontakt(?:isik)?\s*:"
     r"|;\s*"
     r"|\s+-\s+(?=[+(\d])"
-    rf"|\s*[(<\[]?\s*{_EMAIL}"
+    rf"|\s*[(<\[]?\s*(?<![\w.+-]){_EMAIL}"
     r"|[,]?\s+\(?\+?\d[\d ()-]{5,}"
     r").*$",
     re.I | re.S,

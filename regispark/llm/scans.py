@@ -411,13 +411,17 @@ def learn_model(df: DataFrame, text_col: str) -> ScanModel:
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, total / MOST_WORDS)
     counts = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).collect()}
-    marked = F.concat(F.lit("^^"), F.lower("word"), F.lit("$"))
-    grams = (
-        words.where("word rlike '^[\\\\p{L}-]{3,}$'").select(marked.alias("w"))
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("g"))
-        .groupBy("g").agg(F.count("*").alias("n")).where("n > 1").collect()
-    )
-    triples = {r["g"]: float(r["n"]) for r in grams}
+
+    def grams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for b in batches:
+            for word in b["word"]:
+                w = f"^^{word.lower()}$"
+                n.update(w[i : i + 3] for i in range(len(w) - 2))
+        yield pd.DataFrame(list(n.items()), columns=["g", "n"])
+
+    found = words.where("word rlike '^[\\\\p{L}-]{3,}$'").select("word").mapInPandas(grams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").collect()
+    triples = {r["g"]: float(r["n"]) for r in found}
     pairs: dict[str, float] = {}
     for g, n in triples.items():
         pairs[g[:2]] = pairs.get(g[:2], 0.0) + n
